@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN, path
+
+    from .bpe import bpe_decode, bpe_encode, ids_text
+
+    ranks = path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), ranks, PATTERN), ranks, PATTERN)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids_text("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import encode_media, media_features
 
