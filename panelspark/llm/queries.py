@@ -25,6 +25,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .packing import pack, pieces
+
+    packed = pack(pieces(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), end_id=1))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import encode_media, media_features
 
