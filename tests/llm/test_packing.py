@@ -95,7 +95,7 @@ def test_partitions_exchange_documents(spark, monkeypatch):
     n = check_packing(got, 100)
     assert sorted((r.doc_id, r.length, r.extra) for r in got) == sorted((r.doc_id, r.length, r.extra) for r in df.collect())
     assert lower_bound(np.array(lengths), 100) <= n <= alone
-    assert n <= lower_bound(np.array(lengths), 100) + 3
+    assert n <= 1.03 * lower_bound(np.array(lengths), 100)
 
 
 def test_empty_and_bad_lengths(spark):
