@@ -40,6 +40,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import encode_media, media_features
 
