@@ -159,7 +159,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     made = docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, d1 long, d2 long, signature array<long>, bands array<long>")
     made = scratch.save(made, "sketches")
     filled = made.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.save(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
     # a row per document and class; a document with several texts belongs to several classes
     of = scratch.save(filled.join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.struct("signature", "bands")).alias("s")), "classes")
     reps = of.where("s is not null").select("rep", "s.signature", "s.bands")
