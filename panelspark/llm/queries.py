@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Key of the surrogates in the registered queries; a real run passes its own.
+PII_SECRET = "panelspark"
+
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN, path
@@ -40,6 +43,13 @@ def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, PII_SECRET, count_col="n_replaced")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
