@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a filter of documents: 2 MB, whatever their number.
+FILTER_BITS = 1 << 24
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one of this machine."""
@@ -60,3 +67,41 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slot_of(column: Column, bits: int = FILTER_BITS) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits)).cast("long")
+
+
+def filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
+    """A bit for each slot that an id of ``ids`` falls into: at most ``bits`` / 64 longs are read back, whatever the number of ids."""
+    slot = slot_of(F.col(ids.columns[0]), bits)
+    words_ = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
+    table = np.zeros(bits // 64, np.int64)
+    found = words_.toArrow()
+    table[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return table.tobytes()
+
+
+def in_filter(bits: bytes, slot: np.ndarray) -> np.ndarray:
+    table = np.frombuffer(bits, np.uint64)
+    return (table[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def routed(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be in ``ids``, all other rows): every row is in exactly one, and no row of ``ids`` in the second.
+
+    The rows aren't shuffled: a filter of bits of a fixed size decides, and lets some others pass when it fills up.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(filter_of(ids))
+    slotted = df.withColumn("__slot", F.coalesce(slot_of(F.col(f"`{id_col}`").cast("long")), F.lit(0)))
+
+    def part(want: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = pa.array(in_filter(shared.value, batch.column(batch.num_columns - 1).to_numpy()))
+                yield batch.select(range(batch.num_columns - 1)).filter(hit if want else pc.invert(hit))
+
+        return run
+
+    return slotted.mapInArrow(part(True), df.schema), slotted.mapInArrow(part(False), df.schema)

@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts_of
+from .common import Scratch, filter_of, slot_of, texts_of
 from .components import connected_components
+from .linking import link_members, members_of
 from .textscan import as_long, doc_windows, mix, slices, words
 
 BANDS = 32
@@ -39,8 +40,6 @@ HASHES = BANDS * ROWS
 #: Bits kept of each minimum; sixteen of them fill a long.
 BITS = 4
 MARGIN = 0.25
-#: Bits of the filter of candidate documents: 2 MB, whatever their number.
-FILTER_BITS = 1 << 24
 
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64))
@@ -135,20 +134,6 @@ def _sets(size: int, bits: bytes):
     return run
 
 
-def slot_of(column: Column, bits: int = FILTER_BITS) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(bits)).cast("long")
-
-
-def filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """A bit for each slot that an id of ``ids`` falls into: at most ``bits`` / 64 longs are read back, whatever the number of ids."""
-    slot = slot_of(F.col(ids.columns[0]), bits)
-    words_ = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
-    table = np.zeros(bits // 64, np.int64)
-    found = words_.toArrow()
-    table[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    return table.tobytes()
-
-
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: documents with 100 * common >= percent * united shingles are linked."""
     spark = df.sparkSession
@@ -164,70 +149,37 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     of = scratch.save(filled.join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.struct("signature", "bands")).alias("s")), "classes")
     reps = of.where("s is not null").select("rep", "s.signature", "s.bands")
 
-    rows = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("band", "first")
-    members = scratch.save(rows.join(buckets, "band").distinct(), "members")
-    signatures = scratch.save(reps.select("rep", "signature"), "signatures")
+    members = members_of(reps.select("rep", F.explode("bands").alias("band")), scratch)
+    signatures = scratch.save(reps.select("rep", F.col("signature").alias("feature")).dropDuplicates(["rep"]), "signatures")
 
     bits = filter_of(members.select("rep").distinct())
     sets = docs.where("doc_id is not null").withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(_sets(size, bits), "doc_id long, shingles array<long>")
     sets = scratch.save(sets.select(F.col("doc_id").alias("rep"), "shingles"), "sets")
 
-    def screened(pairs: DataFrame) -> DataFrame:
-        a = signatures.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
-        b = signatures.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").where(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b").distinct()
-
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa"))
         b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb"))
         both = F.size(F.array_intersect("xa", "xb"))
-        return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b")
+        return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b").distinct()
 
-    def linked(links: list[DataFrame], name: str) -> DataFrame:
-        every = links[0]
-        for some in links[1:]:
-            every = every.unionByName(some)
-        return connected_components(every.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, name)
-
-    def apart(found: DataFrame, among: DataFrame, name: str) -> DataFrame:
-        """Members of a bucket that aren't in the component of its first member."""
-        mine = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
-        firsts = found.select(F.col("node").alias("first"), F.col("component").alias("its"))
-        both = among.join(mine, "rep", "left").join(firsts, "first", "left")
-        both = both.select("band", "rep", "first", F.coalesce("own", "rep").alias("own"), F.coalesce("its", "first").alias("its"))
-        return scratch.save(both, name)
-
-    star = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = [scratch.save(confirmed(screened(star)), "links0")]
-    found = linked(links, "cc0")
-    state = apart(found, members, "state0")
-    left = state.where("own <> its")
-    if not left.isEmpty():
-        # a second star, around the smallest of those left in each bucket
-        second = left.groupBy("band").agg(F.min("rep").alias("a"))
-        star = left.join(second, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-        links.append(scratch.save(confirmed(screened(star)), "links1"))
-        found = linked(links, "cc1")
-        state = apart(found, members, "state1")
-        left = state.where("own <> its")
-    if not left.isEmpty():
-        # whatever is still apart meets every member of its bucket that is in another component
-        x = left.join(signatures, "rep").select("band", F.col("rep").alias("a"), F.col("own").alias("ca"), "its", F.col("signature").alias("sa"))
-        y = state.join(left.select("band").distinct(), "band", "left_semi").join(signatures, "rep").select("band", F.col("rep").alias("b"), F.col("own").alias("cb"), F.col("signature").alias("sb"))
-        apart_ = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("its")) | (F.col("a") < F.col("b")))
-        pairs = x.join(y, (x.band == y.band) & apart_ & (estimate(F.col("sa"), F.col("sb")) >= least)).select("a", "b").distinct()
-        links.append(scratch.save(confirmed(pairs), "links2"))
-        found = linked(links, "cc2")
+    def alike(a: Column, b: Column) -> Column:
+        return estimate(a, b) >= least
+
+    links, found = link_members(members, signatures, alike, confirmed, scratch)
     # a document with several texts joins their classes
     several = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b <> c")
     if not several.isEmpty():
-        own = of.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        found = linked([*links, own], "cc3")
+        every = of.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        for some in links:
+            every = every.unionByName(some)
+        found = connected_components(every.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, "several")
 
     # an equal set's class, then that class's component
     named = made.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    named = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if found is None:
+        named = named.withColumn("component", F.lit(None).cast("long"))
+    else:
+        named = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(linkable, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     out = named.select("doc_id", "n_shingles", component.alias("component_id"))

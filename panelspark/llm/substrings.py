@@ -24,12 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts_of
-from .minhash import filter_of, slot_of
+from .common import Scratch, filter_of, in_filter, routed, slot_of, texts_of
 from .textscan import as_long, doc_windows, mix, slices, words
 
 WINDOW = 50
@@ -90,9 +88,8 @@ def _scan(block: int):
     return run
 
 
-def _of_reps(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
-    slot = batch.column("slot").to_numpy()
-    return batch.filter(pa.array((table[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+def _of_reps(batch: pa.RecordBatch, bits: bytes) -> pa.RecordBatch:
+    return batch.filter(pa.array(in_filter(bits, batch.column("slot").to_numpy())))
 
 
 def _doc_of(w, at: np.ndarray) -> np.ndarray:
@@ -103,7 +100,7 @@ def _probe(block: int, reps, bloom, part: int, parts: int):
     """Rolling blocks that may be indexed, blocks of the text's own index aside: (hash, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, table = np.frombuffer(reps.value, np.uint64), np.frombuffer(bloom.value, np.uint64)
+        use, table = reps.value, np.frombuffer(bloom.value, np.uint64)
         for batch in batches:
             for rows, data, offs in slices(_of_reps(batch, use), "text"):
                 w = words(data, offs)
@@ -122,7 +119,7 @@ def _extend(window: int, block: int, reps, bloom, part: int, parts: int):
     """Windows that hold an anchor: (hash, doc_id, key, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, table = np.frombuffer(reps.value, np.uint64), np.frombuffer(bloom.value, np.uint64)
+        use, table = reps.value, np.frombuffer(bloom.value, np.uint64)
         for batch in batches:
             for rows, data, offs in slices(_of_reps(batch, use), "text"):
                 w = words(data, offs)
@@ -219,25 +216,9 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of every row."""
     repeats = repeated_words(df, window, id_col, text_col, entries)
     docs = texts_of(df, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    spark = df.sparkSession
-    bits = spark.sparkContext.broadcast(filter_of(repeats.select("doc_id").distinct()))
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint64)
-        for batch in batches:
-            slot = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array((table[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool))], ["hit"])
-
-    def routed(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = next(flag(iter([batch.select(["slot"])]))).column(0)
-                yield batch.filter(hit if want else pa.compute.invert(hit)).select(["doc_id", "key", "text"])
-
-        return docs.withColumn("slot", F.coalesce(slot_of(F.col("doc_id")), F.lit(0))).mapInArrow(run, "doc_id long, key long, text string")
-
+    hit, rest = routed(docs, repeats.select("doc_id").distinct())
     schema = "doc_id long, n_words long, n_removed long, kept string"
     nothing = F.lit(None).cast("array<int>").alias("places")
-    as_is = routed(False).select("doc_id", "text", F.lit(False).alias("whole"), nothing)
-    changed = routed(True).join(repeats, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "places")
+    as_is = rest.select("doc_id", "text", F.lit(False).alias("whole"), nothing)
+    changed = hit.join(repeats, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "places")
     return as_is.mapInArrow(_remove(window), schema).unionByName(changed.mapInArrow(_remove(window), schema))
