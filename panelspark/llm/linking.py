@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import connected_components
 
+#: Members of each bucket that those apart from its first member meet next.
+PIVOTS = 8
+
 
 def members_of(rows: DataFrame, scratch: Scratch, name: str = "members") -> DataFrame:
-    """(band, rep, first) of the buckets of (rep, band) rows that hold several; ``first`` is the smallest member."""
-    buckets = rows.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("band", "first")
+    """(band, rep, first, n) of the buckets of (rep, band) rows that hold several: smallest member, number of members."""
+    buckets = rows.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n")).where("first <> last").select("band", "first", "n")
     return scratch.save(rows.join(buckets, "band").distinct(), name)
 
 
@@ -23,9 +26,9 @@ def link_members(members: DataFrame, features: DataFrame, screen: Callable[[Colu
     ``features`` has one row (rep, feature) for each member; ``screen`` says of two features whether the pair is worth
     confirming; ``confirm`` keeps those of a table of pairs (a, b) that are linked.
 
-    Members meet the smallest of their bucket first, then those still apart from it meet the smallest of them, and at
-    last whoever is still apart meets every member of another component, the screen being part of that join.  So every
-    pair of a bucket that passes the screen is either confirmed or refused, or in one component already.
+    Members meet the smallest of their bucket first; then those still apart from it meet PIVOTS members picked by hash;
+    and at last whoever is still apart meets every member of another component, the screen being part of that join.
+    So every pair of a bucket that passes the screen is either confirmed or refused, or in one component already.
     """
     a = features.select(F.col("rep").alias("a"), F.col("feature").alias("fa"))
     b = features.select(F.col("rep").alias("b"), F.col("feature").alias("fb"))
@@ -47,12 +50,12 @@ def link_members(members: DataFrame, features: DataFrame, screen: Callable[[Colu
         found = connected_components(every.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"{name}-cc{i}")
 
     def apart(i: int) -> DataFrame:
-        """Members with their component and that of their bucket's first member."""
+        """Members of buckets of three and more, their component and that of the bucket's first member."""
         if found is None:
-            return members.select("band", "rep", "first", F.col("rep").alias("own"), F.col("first").alias("its"))
+            return members.where("n > 2").select("band", "rep", "first", F.col("rep").alias("own"), F.col("first").alias("its"))
         mine = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
         firsts = found.select(F.col("node").alias("first"), F.col("component").alias("its"))
-        both = members.join(mine, "rep", "left").join(firsts, "first", "left")
+        both = members.where("n > 2").join(mine, "rep", "left").join(firsts, "first", "left")
         return scratch.save(both.select("band", "rep", "first", F.coalesce("own", "rep").alias("own"), F.coalesce("its", "first").alias("its")), f"{name}-state{i}")
 
     def screened(pairs: DataFrame) -> DataFrame:
@@ -61,8 +64,9 @@ def link_members(members: DataFrame, features: DataFrame, screen: Callable[[Colu
     settle(screened(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))), 0)
     left = apart(0).where("own <> its")
     if not left.isEmpty():
-        second = left.groupBy("band").agg(F.min("rep").alias("a"))
-        settle(screened(left.join(second, "band").where("rep <> a").select("a", F.col("rep").alias("b"))), 1)
+        picked = members.where("n > 2").groupBy("band").agg(F.array(*[F.min_by("rep", F.xxhash64(F.lit(i), "rep")) for i in range(PIVOTS)]).alias("some"))
+        met = left.join(picked, "band").select(F.explode(F.array_distinct("some")).alias("p"), "rep").where("rep <> p")
+        settle(screened(met.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))), 1)
         state = apart(1)
         left = state.where("own <> its")
         if not left.isEmpty():

@@ -12,7 +12,7 @@
    change a component is lost, and there is no cap on buckets.
 
 A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**4)**32 = 1 - 5e-8; the screen passes pairs whose
-estimate is at least 0.25 under the threshold (6.8 standard deviations).
+estimate is no more than 0.18 under the threshold (4.9 standard deviations) and whose sizes allow the similarity.
 
 Null or empty text, or text without words, has an empty set: linked with nothing, its own component, kept.  Rows that
 repeat a doc_id are one document with several texts.  Rows without a doc_id come back unlinked, with no component,
@@ -39,7 +39,7 @@ ROWS = 4
 HASHES = BANDS * ROWS
 #: Bits kept of each minimum; sixteen of them fill a long.
 BITS = 4
-MARGIN = 0.25
+MARGIN = 0.18
 
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64))
@@ -147,10 +147,10 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     classes = scratch.save(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
     # a row per document and class; a document with several texts belongs to several classes
     of = scratch.save(filled.join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.struct("signature", "bands")).alias("s")), "classes")
-    reps = of.where("s is not null").select("rep", "s.signature", "s.bands")
+    reps = of.where("s is not null").select("rep", "n_shingles", "s.signature", "s.bands")
 
     members = members_of(reps.select("rep", F.explode("bands").alias("band")), scratch)
-    signatures = scratch.save(reps.select("rep", F.col("signature").alias("feature")).dropDuplicates(["rep"]), "signatures")
+    signatures = scratch.save(reps.select("rep", F.struct("signature", "n_shingles").alias("feature")).dropDuplicates(["rep"]), "signatures")
 
     bits = filter_of(members.select("rep").distinct())
     sets = docs.where("doc_id is not null").withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(_sets(size, bits), "doc_id long, shingles array<long>")
@@ -163,7 +163,8 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
         return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b").distinct()
 
     def alike(a: Column, b: Column) -> Column:
-        return estimate(a, b) >= least
+        small, large = F.least(a["n_shingles"], b["n_shingles"]), F.greatest(a["n_shingles"], b["n_shingles"])
+        return (100 * small >= percent * large) & (estimate(a["signature"], b["signature"]) >= least)
 
     links, found = link_members(members, signatures, alike, confirmed, scratch)
     # a document with several texts joins their classes
