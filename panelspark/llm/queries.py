@@ -79,6 +79,15 @@ def op8_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .lmscore import cross_entropy_difference
+
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good, path("word_bpe_49k.json"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import encode_media, media_features
 
