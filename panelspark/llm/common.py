@@ -105,3 +105,9 @@ def routed(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataF
         return run
 
     return slotted.mapInArrow(part(True), df.schema), slotted.mapInArrow(part(False), df.schema)
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose id isn't in ``ids`` (one column); rows that can't be in it aren't shuffled."""
+    hit, rest = routed(df, ids, id_col)
+    return rest.unionByName(hit.join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_anti").select(*df.columns))

@@ -218,3 +218,19 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
     """doc_id, score (0 to 1) of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     return texts_of(df, id_col, text_col).mapInArrow(_score(shared), "doc_id long, score double")
+
+
+def with_quality(df: DataFrame, model: QualityModel, column: str = "quality_score", text_col: str = "text") -> DataFrame:
+    """``df`` with the score in ``column`` (which replaces one of that name)."""
+    need(df, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c != column], F.col(f"`{text_col}`").cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shared.value.score(f) for _, data, offs in slices(batch, "__text") for f in features(data, offs)]
+            names = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*names, column])
+
+    schema = type(rest.schema)(rest.schema.fields[:-1]).add(column, "double")
+    return rest.mapInArrow(run, schema)
