@@ -107,6 +107,44 @@ def _texts(min_words: int, bloom):
     return run
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Edit distance by bit vectors (one step for each character of ``b``), after what both start and end with."""
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    plus, minus, distance = mask, 0, len(a)
+    for c in b:
+        same = where.get(c, 0)
+        across = ((same & plus) + plus ^ plus) | same
+        up, down = minus | ~(across | plus), plus & across
+        distance += bool(up & top) - bool(down & top)
+        up, down = up << 1 | 1, down << 1
+        plus, minus = (down | ~((same | minus) | up)) & mask, up & (same | minus) & mask
+    return distance
+
+
+def _near(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
+                most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+                keep.append(abs(len(x) - len(y)) <= most and edit_distance(x, y) <= most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _keys(sim: Column) -> Column:
     at = np.cumsum((0, *_WIDTHS))
     blocks = [F.shiftrightunsigned(sim, int(at[i])).bitwiseAND(F.lit((1 << w) - 1)) for i, w in enumerate(_WIDTHS)]
@@ -134,10 +172,7 @@ def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
         confirmed.calls += 1
         a = texts.select(F.col("line").alias("a"), F.col("norm").alias("na"))
         b = texts.select(F.col("line").alias("b"), F.col("norm").alias("nb"))
-        longer = F.greatest(F.char_length("na"), F.char_length("nb"))
-        most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-        near = (F.abs(F.char_length("na") - F.char_length("nb")) <= most) & (F.levenshtein("na", "nb") <= most)
-        return pairs.join(b, "b").join(a, "a").where(near).select("a", "b")
+        return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb").mapInArrow(_near(similarity), "a long, b long")
 
     confirmed.calls = 0
     rows = lines.select(F.col("line").alias("rep"), F.explode(_keys(F.col("sim"))).alias("band"))

@@ -78,6 +78,13 @@ def corpus(seed, n):
     return rows
 
 
+def test_edit_distance():
+    random.seed(9)
+    for _ in range(3000):
+        a, b = ("".join(random.choices("abé", k=random.randint(0, 9))) for _ in range(2))
+        assert module.edit_distance(a, b) == edit(a, b)
+
+
 def test_equals_brute_force(spark):
     rows = corpus(1, 120)
     rows += [rows[7], rows[8]]
