@@ -32,8 +32,8 @@ def pairs(long: DataFrame) -> DataFrame:
 
 
 def daily_ic(long: DataFrame) -> DataFrame:
-    """(factor, date, ic) of the dates with two or more pairs that vary on both sides."""
-    return _spearman(pairs(long), "factor", "date").where("n >= 2 and ic is not null").select("factor", "date", "ic")
+    """(factor, date, ic) of the dates with two or more pairs that vary on both sides; noise beyond 12 digits is cut."""
+    return _spearman(pairs(long), "factor", "date").where("n >= 2 and ic is not null").select("factor", "date", F.round("ic", 12).alias("ic"))
 
 
 def ic_stats(ic: DataFrame) -> DataFrame:

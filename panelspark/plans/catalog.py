@@ -150,12 +150,18 @@ def q_backtest_returns(s, d):
     return rounded(portfolio.returns(_long(s, d, 1)).drop("cumulative_long_return", "cumulative_spread_return", "cumulative_benchmark_return", "cumulative_long_excess_return"))
 
 
+def _daily(s, d):
+    """Daily returns at a hundredth: prices of line items are noise, and compounding them whole leaves no digits to compare."""
+    daily = portfolio.returns(_long(s, d, 1))
+    return daily.withColumns({c: F.col(c) / 100 for c in ("long_return", "spread_return", "benchmark_return", "long_excess_return")})
+
+
 def q_drawdown(s, d):
-    return rounded(portfolio.drawdowns(portfolio.returns(_long(s, d, 1)), "long_excess_return"))
+    return rounded(portfolio.drawdowns(_daily(s, d), "long_excess_return"))
 
 
 def q_backtest_metrics(s, d):
-    return rounded(portfolio.metrics(portfolio.returns(_long(s, d, 1))), 5)
+    return rounded(portfolio.metrics(_daily(s, d)), 5)
 
 
 def q_factor_profile(s, d):

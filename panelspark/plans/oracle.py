@@ -112,7 +112,7 @@ def _spearman(source: str, keys: str) -> str:
 
 
 def _ic(h: int = 5, **k) -> str:
-    return f"{_long(h, **k)}, ic AS (SELECT factor, date, ic FROM ({_spearman('pairs', 'factor, date')}) WHERE n >= 2 AND ic IS NOT NULL)"
+    return f"{_long(h, **k)}, ic AS (SELECT factor, date, ROUND(ic, 12) AS ic FROM ({_spearman('pairs', 'factor, date')}) WHERE n >= 2 AND ic IS NOT NULL)"
 
 
 _STATS = "SELECT factor, AVG(ic) AS mean_ic, STDDEV_SAMP(ic) AS ic_std, AVG(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS positive_ic_rate, COUNT(*) AS days, CASE WHEN STDDEV_SAMP(ic) = 0 THEN 0.0 ELSE AVG(ic) / STDDEV_SAMP(ic) END AS ic_ir FROM ic GROUP BY factor"
@@ -143,7 +143,8 @@ def _daily() -> str:
   legs AS (SELECT factor, date, SUM(CASE WHEN side = 'long' THEN weight * label ELSE 0 END) AS long_return, SUM(CASE WHEN side = 'short' THEN -weight * label ELSE 0 END) AS short_leg_return,
     COUNT(*) FILTER (side = 'long') AS top_count, COUNT(*) FILTER (side = 'short') AS bottom_count FROM held GROUP BY factor, date),
   daily AS (SELECT *, long_return - short_leg_return - cost AS spread_return, long_return - benchmark_return AS long_excess_return
-    FROM (SELECT *, turnover * 5.0 / 10000 AS cost FROM legs JOIN turn USING (factor, date) LEFT JOIN bench USING (date)))"""
+    FROM (SELECT *, turnover * 5.0 / 10000 AS cost FROM legs JOIN turn USING (factor, date) LEFT JOIN bench USING (date))),
+  scaled AS (SELECT * REPLACE (long_return / 100 AS long_return, spread_return / 100 AS spread_return, benchmark_return / 100 AS benchmark_return, long_excess_return / 100 AS long_excess_return) FROM daily)"""
 
 
 def _metrics(column: str) -> str:
@@ -153,7 +154,7 @@ def _metrics(column: str) -> str:
     COALESCE(STDDEV_SAMP(CASE WHEN x < 0 THEN x END), 0) * sqrt(252) AS downside_volatility,
     CASE WHEN COALESCE(STDDEV_SAMP(x), 0) = 0 THEN 0.0 ELSE AVG(x) * 252 / (STDDEV_SAMP(x) * sqrt(252)) END AS information_ratio, MIN(dd) AS max_drawdown,
     COALESCE(AVG(x) * 252 / NULLIF(ABS(MIN(dd)), 0), 0) AS calmar
-    FROM (SELECT factor, x, equity / MAX(equity) {run} - 1 AS dd FROM (SELECT factor, date, {column} AS x, product(1 + {column}) {run} AS equity FROM daily WHERE {column} IS NOT NULL)) GROUP BY factor)"""
+    FROM (SELECT factor, x, equity / MAX(equity) {run} - 1 AS dd FROM (SELECT factor, date, {column} AS x, product(1 + {column}) {run} AS equity FROM scaled WHERE {column} IS NOT NULL)) GROUP BY factor)"""
 
 
 _KLINE = f"""{BARS}, k0 AS (SELECT *, ROUND({change("close")}, 10) AS kr, ROUND((high - low) / NULLIF({lag("close")}, 0), 10) AS ks,
@@ -308,11 +309,11 @@ def sql() -> dict[str, str]:
     put("benchmark", _daily(), f"SELECT date, {r('benchmark_return', 'benchmark_return')} FROM bench")
     put("backtest_returns", _daily(), f"SELECT factor, date, {rs(['long_return', 'short_leg_return', 'turnover', 'benchmark_return', 'cost', 'spread_return', 'long_excess_return'])}, top_count, bottom_count FROM daily")
     run = "OVER (PARTITION BY factor ORDER BY date ROWS UNBOUNDED PRECEDING)"
-    put("drawdown", _daily(), f"SELECT factor, date, {r('equity', 'equity')}, {r(f'equity / MAX(equity) {run} - 1', 'drawdown')} FROM (SELECT factor, date, product(1 + long_excess_return) {run} AS equity FROM daily WHERE long_excess_return IS NOT NULL)")
+    put("drawdown", _daily(), f"SELECT factor, date, {r('equity', 'equity')}, {r(f'equity / MAX(equity) {run} - 1', 'drawdown')} FROM (SELECT factor, date, product(1 + long_excess_return) {run} AS equity FROM scaled WHERE long_excess_return IS NOT NULL)")
     main = ["total_return", "annualized_return", "annualized_volatility", "hit_rate", "downside_volatility", "information_ratio", "max_drawdown", "calmar"]
     metrics = f"""SELECT a.*, benchmark_beta, benchmark_correlation, x.total_return AS excess_total_return, x.information_ratio AS excess_information_ratio, x.max_drawdown AS excess_max_drawdown, long_total_return, benchmark_total_return, long_excess_total_return, average_turnover, average_cost
       FROM {_metrics('spread_return')} a JOIN {_metrics('long_excess_return')} x USING (factor) JOIN (SELECT factor, covar_samp(long_return, benchmark_return) / NULLIF(var_samp(benchmark_return), 0) AS benchmark_beta, covar_samp(long_return, benchmark_return) / NULLIF(stddev_samp(long_return) * stddev_samp(benchmark_return), 0) AS benchmark_correlation,
-      product(1 + long_return) - 1 AS long_total_return, product(1 + benchmark_return) - 1 AS benchmark_total_return, product(1 + long_excess_return) - 1 AS long_excess_total_return, AVG(turnover) AS average_turnover, AVG(cost) AS average_cost FROM daily GROUP BY factor) USING (factor)"""
+      product(1 + long_return) - 1 AS long_total_return, product(1 + benchmark_return) - 1 AS benchmark_total_return, product(1 + long_excess_return) - 1 AS long_excess_total_return, AVG(turnover) AS average_turnover, AVG(cost) AS average_cost FROM scaled GROUP BY factor) USING (factor)"""
     more = ["benchmark_beta", "benchmark_correlation", "excess_total_return", "excess_information_ratio", "excess_max_drawdown", "long_total_return", "benchmark_total_return", "long_excess_total_return", "average_turnover", "average_cost"]
     put("backtest_metrics", _daily(), f"SELECT factor, periods, {rs([*main, *more], 5)} FROM ({metrics})")
     profile = """SELECT factor, SUM(there) * 1.0 / SUM(n) AS coverage, COUNT(*) FILTER (u >= 5) AS active_days, CAST(median(u) AS DOUBLE) AS median_daily_unique, SUM(a) / SUM(there) AS mean_abs
