@@ -59,8 +59,8 @@ def _lines(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield rows, data, np.append(starts, len(data)), row, number
 
 
-def _hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, hash, SimHash) of each line."""
+def _hashes(data: np.ndarray, offs: np.ndarray, similar: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, hash, SimHash) of each line; without ``similar`` the last is 0."""
     w = words(data, offs)
     n = np.diff(w.first)
     place = np.arange(len(w.hash), dtype=np.int64) - np.repeat(w.first[:-1], n)
@@ -70,7 +70,7 @@ def _hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         line = mix(sums[w.first[1:]] - sums[w.first[:-1]] + n.astype(np.uint64))
     sim = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
-    if len(some):
+    if similar and len(some):
         for byte in range(8):
             part = (w.hash >> np.uint64(8 * byte)).astype(np.uint8)
             ones = np.add.reduceat(np.unpackbits(part[:, None], axis=1, bitorder="little"), w.first[some], axis=0, dtype=np.int32)
@@ -98,7 +98,7 @@ def _texts(min_words: int, bloom):
         table = np.frombuffer(bloom.value, np.uint64)
         for batch in batches:
             for _, data, offs, _, _ in _lines(batch):
-                n, line, _ = _hashes(data, offs)
+                n, line, _ = _hashes(data, offs, similar=False)
                 use = np.flatnonzero((n >= min_words) & bloom_has(table, line))
                 raw = data.tobytes()
                 texts = [b" ".join(raw[offs[i] : offs[i + 1]].split()).decode() for i in use.tolist()]
