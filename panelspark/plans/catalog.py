@@ -151,9 +151,9 @@ def q_backtest_returns(s, d):
 
 
 def _daily(s, d):
-    """Daily returns at a hundredth: prices of line items are noise, and compounding them whole leaves no digits to compare."""
+    """Daily returns at a ten-thousandth: prices of line items are noise, and compounding them whole leaves no digits to compare."""
     daily = portfolio.returns(_long(s, d, 1))
-    return daily.withColumns({c: F.col(c) / 100 for c in ("long_return", "spread_return", "benchmark_return", "long_excess_return")})
+    return daily.withColumns({c: F.col(c) / 10_000 for c in ("long_return", "spread_return", "benchmark_return", "long_excess_return")})
 
 
 def q_drawdown(s, d):

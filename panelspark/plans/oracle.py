@@ -144,7 +144,7 @@ def _daily() -> str:
     COUNT(*) FILTER (side = 'long') AS top_count, COUNT(*) FILTER (side = 'short') AS bottom_count FROM held GROUP BY factor, date),
   daily AS (SELECT *, long_return - short_leg_return - cost AS spread_return, long_return - benchmark_return AS long_excess_return
     FROM (SELECT *, turnover * 5.0 / 10000 AS cost FROM legs JOIN turn USING (factor, date) LEFT JOIN bench USING (date))),
-  scaled AS (SELECT * REPLACE (long_return / 100 AS long_return, spread_return / 100 AS spread_return, benchmark_return / 100 AS benchmark_return, long_excess_return / 100 AS long_excess_return) FROM daily)"""
+  scaled AS (SELECT * REPLACE (long_return / 10000 AS long_return, spread_return / 10000 AS spread_return, benchmark_return / 10000 AS benchmark_return, long_excess_return / 10000 AS long_excess_return) FROM daily)"""
 
 
 def _metrics(column: str) -> str:
