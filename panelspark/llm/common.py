@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 24
 
 
+#: Rows of an Arrow batch where the session doesn't say: texts can be long, and a worker holds a batch several times.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the size of Arrow batches unless the session already does."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) in (None, "10000"):
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,6 +73,7 @@ def need(df: DataFrame, *columns: str) -> None:
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) alone: whatever other columns are called, they can't clash with an operator's own."""
     need(df, id_col, text_col)
+    bound_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, texts_of
+from .common import bound_batches, need, texts_of
 from .textscan import mix, slices, windows, words
 
 FEATURES = 1 << 18
@@ -223,6 +223,7 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
 def with_quality(df: DataFrame, model: QualityModel, column: str = "quality_score", text_col: str = "text") -> DataFrame:
     """``df`` with the score in ``column`` (which replaces one of that name)."""
     need(df, text_col)
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c != column], F.col(f"`{text_col}`").cast("string").alias("__text"))
 
