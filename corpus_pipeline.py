@@ -40,7 +40,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; one whose every line (of five words or more) was repeated goes."""
     plain = docs.select(*docs.columns)
-    clean = dedup_lines(plain)
+    clean = dedup_lines(plain, grams=True)
     return _counted(clean.where("n_removed = 0 or n_left > 0"), docs)
 
 

@@ -7,6 +7,9 @@ least ``min_words`` words take part; shorter ones, and blank ones, always stay.
 2. Hashes that differ in at most 3 bits agree, by the pigeonhole principle, in at least 2 of 5 blocks: lines meet where
    one of the 10 pairs of blocks is equal (25 or 26 bits a key, so that unrelated lines seldom meet).
 3. Of those that meet within 3 bits, lines with 1 - edit distance / longer length >= ``similarity`` are linked.
+   Few changed words leave a line within 3 bits.  With ``grams`` candidates are found by characters instead: lines meet
+   where one of BANDS hashes of ROWS minima over their runs of characters is equal (runs of 2, 5 or 8, longer for longer
+   lines), and their SimHashes of runs of 3 may differ in 30, 26 or 20 bits.  Recall: see the README and the tests.
 4. Links are closed to groups; of each group's occurrences the first stays (smallest document, then line), all others go.
 
 Candidates are linked by stars, not pair by pair (see linking).  Only numbers and hashes of lines are shuffled, texts
@@ -20,12 +23,13 @@ Names starting with ``__`` are reserved.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, need, routed, texts_of
@@ -36,8 +40,18 @@ from .textscan import as_long, mix, slices, string_buffers, words
 MIN_WORDS = 5
 SIMILARITY = 0.8
 DISTANCE = 3
+#: Candidates by characters: lengths from which lines are cut into longer runs, the length of these runs, and the most
+#: bits in which SimHashes may differ (chosen from measured pairs with similarity 0.8, see the README).
+CLASSES = ((1, 2, 30), (24, 5, 26), (96, 8, 20))
+BANDS = 20
+ROWS = 3
 _WIDTHS = (13, 13, 13, 13, 12)
 
+_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_SHIFTS = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)).astype(np.uint32)
+_BAND = mix(np.arange(5001, BANDS + 5001, dtype=np.uint64))
+_FACTORS = mix(np.arange(7001, 7009, dtype=np.uint64)) | np.uint64(1)
+
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[c for c in range(128) if not chr(c).isalnum() and c != 10]] = 32
 _PLAIN[48:58] = 48
@@ -71,19 +85,95 @@ def _hashes(data: np.ndarray, offs: np.ndarray, similar: bool = True) -> tuple[n
     sim = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
     if similar and len(some):
-        for byte in range(8):
-            part = (w.hash >> np.uint64(8 * byte)).astype(np.uint8)
-            ones = np.add.reduceat(np.unpackbits(part[:, None], axis=1, bitorder="little"), w.first[some], axis=0, dtype=np.int32)
-            packed = np.packbits(2 * ones > n[some, None], axis=1, bitorder="little")[:, 0]
-            sim[some] |= packed.astype(np.uint64) << np.uint64(8 * byte)
+        sim[some] = _majority(w.hash, w.first[some], n[some])
     return n, line, sim
 
 
-def _scan(min_words: int):
+def _majority(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of each run of ``n`` hashes from ``first``."""
+    sim = np.zeros(len(n), np.uint64)
+    for byte in range(8):
+        part = (hashes >> np.uint64(8 * byte)).astype(np.uint8)
+        ones = np.add.reduceat(np.unpackbits(part[:, None], axis=1, bitorder="little"), first, axis=0, dtype=np.int32)
+        packed = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little")[:, 0]
+        sim |= packed.astype(np.uint64) << np.uint64(8 * byte)
+    return sim
+
+
+def _runs(chars: np.ndarray, first: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first, number) of the runs of ``length`` characters of each line; a shorter line is one run."""
+    n = np.maximum(size - length + 1, 1)
+    start = np.cumsum(n) - n
+    at = np.arange(int(n.sum())) + np.repeat(first - start, n)
+    end = np.repeat(first + size, n)
+    total = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(length):
+            inside = at + k < end
+            total += np.where(inside, chars[np.minimum(at + k, len(chars) - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0)) * _FACTORS[k]
+    return mix(total), start, n
+
+
+def signatures(texts: list[str], similarity: float) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(characters, SimHash of runs of 3, band keys) of normalised lines."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    size = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(size) - size
+    sim = _majority(*_runs(chars, first, size, 3))
+    shortest = np.ceil(size * similarity - 1e-9)
+    whose, keys = [], []
+    for i, (low, length, _) in enumerate(CLASSES):
+        high = CLASSES[i + 1][0] if i + 1 < len(CLASSES) else np.inf
+        # a line meets shorter ones in their class
+        some = np.flatnonzero((size >= low) & (shortest < high))
+        if not len(some):
+            continue
+        hashes, start, _ = _runs(chars, first[some], size[some], length)
+        small = (hashes >> np.uint64(32)).astype(np.uint32)
+        key = np.empty((len(some), BANDS), np.uint64)
+        with np.errstate(over="ignore"):
+            for b in range(BANDS):
+                part = np.full(len(some), _BAND[b] + np.uint64(length), np.uint64)
+                for r in range(b * ROWS, (b + 1) * ROWS):
+                    part = mix(part + np.minimum.reduceat((small ^ _SHIFTS[r]) * _SEEDS[r], start))
+                key[:, b] = part
+        whose.append(some)
+        keys.append(key)
+    owner = np.concatenate(whose)
+    values = np.concatenate(keys)[np.argsort(owner, kind="stable")].ravel()
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts))) * BANDS
+    bands = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(as_long(values)))
+    return size, sim, bands
+
+
+def _sign(min_words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, data, offs, _, _ in _lines(batch):
+                n, line, _ = _hashes(data, offs, similar=False)
+                raw = data.tobytes()
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                some, texts = [], []
+                for i in np.flatnonzero(n >= min_words).tolist():
+                    h = int(line[i])
+                    if h not in seen:
+                        seen.add(h)
+                        some.append(i)
+                        texts.append(b" ".join(raw[offs[i] : offs[i + 1]].split()).decode())
+                if some:
+                    size, sim, bands = signatures(texts, similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array(as_long(line[some])), pa.array(size.astype(np.int32)), pa.array(as_long(sim)), bands], ["line", "size", "sim", "bands"])
+
+    return run
+
+
+def _scan(min_words: int, similar: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs, row, number in _lines(batch):
-                n, line, sim = _hashes(data, offs)
+                n, line, sim = _hashes(data, offs, similar)
                 use = np.flatnonzero(n >= min_words)
                 at = pa.array(row[use])
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(at), rows.column("key").take(at), pa.array(number[use].astype(np.int32)), pa.array(as_long(line[use])), pa.array(as_long(sim[use]))], ["doc_id", "key", "number", "line", "sim"])
@@ -133,13 +223,19 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def _shared(a: str, b: str) -> int:
+    """Pairs of neighbouring characters in common, counted as often as both have them; each edit changes two at most."""
+    x, y = Counter(map(str.__add__, a, a[1:])), Counter(map(str.__add__, b, b[1:]))
+    return sum(min(n, y[k]) for k, n in x.items() if k in y)
+
+
 def _near(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
                 most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
-                keep.append(abs(len(x) - len(y)) <= most and edit_distance(x, y) <= most)
+                keep.append(abs(len(x) - len(y)) <= most and _shared(x, y) >= max(len(x), len(y)) - 1 - 2 * most and edit_distance(x, y) <= most)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -152,16 +248,21 @@ def _keys(sim: Column) -> Column:
     return F.array(*pairs)
 
 
-def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, grams: bool = False) -> DataFrame:
     """doc_id, key, gone (numbers of lines to remove) of (doc_id, key, text) rows that lose lines."""
     spark = docs.sparkSession
     usable = docs.where("doc_id is not null and text is not null")
-    places = scratch.save(usable.mapInArrow(_scan(min_words), "doc_id long, key long, number int, line long, sim long"), "places")
+    places = scratch.save(usable.mapInArrow(_scan(min_words, not grams), "doc_id long, key long, number int, line long, sim long"), "places")
     lines = places.groupBy("line").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "key", "number")).alias("first"), F.max(F.struct("doc_id", "key", "number")).alias("last"))
     lines = scratch.save(lines, "lines")
 
     def close(a: Column, b: Column) -> Column:
-        return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
+        if not grams:
+            return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
+        least, most = F.least(a["size"], b["size"]), F.when(F.lit(False), 0)
+        for low, _, bits in reversed(CLASSES):
+            most = most.when(least >= low, bits)
+        return (least >= F.greatest(a["size"], b["size"]) * similarity - 1e-6) & (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= most)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
@@ -175,9 +276,19 @@ def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
         return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb").mapInArrow(_near(similarity), "a long, b long")
 
     confirmed.calls = 0
-    rows = lines.select(F.col("line").alias("rep"), F.explode(_keys(F.col("sim"))).alias("band"))
-    members = members_of(rows, scratch)
-    features = lines.select(F.col("line").alias("rep"), F.col("sim").alias("feature"))
+    if grams:
+        signed = usable.select("text").mapInArrow(_sign(min_words, similarity), "line long, size int, sim long, bands array<long>")
+        signed = scratch.save(signed.dropDuplicates(["line"]), "signed")
+        rows = signed.select(F.col("line").alias("rep"), F.explode("bands").alias("band"))
+        features = signed.select(F.col("line").alias("rep"), F.struct("size", "sim").alias("feature"))
+        # a line is in a bucket once, so that a window serves and rows are dealt once
+        bucket = Window.partitionBy("band")
+        members = rows.select("band", "rep", F.min("rep").over(bucket).alias("first"), F.count("*").over(bucket).alias("n"))
+        members = scratch.save(members.where("n > 1"), "members")
+    else:
+        rows = lines.select(F.col("line").alias("rep"), F.explode(_keys(F.col("sim"))).alias("band"))
+        features = lines.select(F.col("line").alias("rep"), F.col("sim").alias("feature"))
+        members = members_of(rows, scratch)
     _, found = link_members(members, features, close, confirmed, scratch)
     if found is None:
         groups = lines.where("first <> last").select("line", F.col("first").alias("stays"))
@@ -220,11 +331,13 @@ def _apply(min_words: int):
     return run
 
 
-def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with repeated and nearly repeated lines removed from ``text_col``, and n_lines, n_removed, n_left."""
+def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", grams: bool = False) -> DataFrame:
+    """``df`` with repeated and nearly repeated lines removed from ``text_col``, and n_lines, n_removed, n_left.
+
+    ``grams`` finds candidates by characters instead of words."""
     need(df, id_col, text_col)
     scratch = Scratch(df.sparkSession)
-    lost = line_groups(texts_of(df, id_col, text_col).withColumn("key", F.xxhash64("text")), scratch, min_words, similarity)
+    lost = line_groups(texts_of(df, id_col, text_col).withColumn("key", F.xxhash64("text")), scratch, min_words, similarity, grams)
     counts = ["n_lines", "n_removed", "n_left"]
     names = [c for c in df.columns if c not in counts]
     others = [F.col(f"`{c}`") for c in names if c != text_col]
