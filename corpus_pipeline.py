@@ -18,6 +18,9 @@ from panelspark.llm.pii import replace_pii
 from panelspark.llm.quality import fit_quality, with_quality
 from panelspark.llm.queries import PII_SECRET
 
+#: A character that normalised lines keep: no ASCII sign, no white space.
+WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]"
+
 #: Documents that score lower go.
 LEAST_QUALITY = 0.3
 
@@ -38,10 +41,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; one whose every line (of five words or more) was repeated goes."""
+    """Documents without their repeated lines; one that lost lines and has no word left goes."""
     plain = docs.select(*docs.columns)
     clean = dedup_lines(plain, grams=True)
-    return _counted(clean.where("n_removed = 0 or n_left > 0"), docs)
+    return _counted(clean.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)), docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
