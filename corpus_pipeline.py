@@ -43,7 +43,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; one that lost lines and has no word left goes."""
     plain = docs.select(*docs.columns)
-    clean = dedup_lines(plain, grams=True)
+    clean = dedup_lines(plain, min_words=1, grams=True)
     return _counted(clean.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)), docs)
 
 

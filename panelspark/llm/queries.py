@@ -63,7 +63,7 @@ def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, grams=True).select("doc_id", "n_lines", "n_removed", "n_left", "text")
+    return dedup_lines(docs, min_words=1, grams=True).select("doc_id", "n_lines", "n_removed", "n_left", "text")
 
 
 def op7_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
