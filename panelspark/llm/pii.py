@@ -189,20 +189,21 @@ class _Maker:
         country, bban = F.substr(canon, F.lit(1), F.lit(2)), F.substr(swapped, F.lit(5), n)
         iban = F.concat(country, F.lpad((98 - _mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0"), bban)
 
-        def person(first: list[str], second: list[str], sep: str) -> Column:
-            more = F.when(attempt >= 4, F.concat(F.lit(sep), F.lower(_pick(second, value(2))) if not sep else _pick(second, value(2)))).otherwise("")
-            return F.concat(_pick(first, value(0)), more)
+        def more(parts: list[str]) -> Column:
+            """One part more every four attempts, so that names never run out."""
+            return F.when(attempt >= 4, F.transform(F.sequence(F.lit(2), F.floor(attempt / 4).cast("int") + 1), lambda i: _pick(parts, value(i)))).otherwise(F.array().cast("array<string>"))
+
+        def person(parts: list[str], sep: str) -> Column:
+            return F.concat_ws(sep, _pick(parts, value(0)), more(parts))
 
         def family(stems: list[str], ends: list[str], tail: str) -> Column:
-            inner = F.when(attempt >= 4, F.lower(_pick(stems, value(2)))).otherwise("")
-            deep = F.when(attempt >= 16, F.lower(_pick(stems, value(3)))).otherwise("")
-            return F.concat(_pick(stems, value(0)), inner, deep, _pick(ends, value(1)), F.lit(tail))
+            return F.concat(_pick(stems, value(0)), F.lower(F.array_join(more(stems), "")), _pick(ends, value(1)), F.lit(tail))
 
         given = {
-            "GIVEN_LATIN_F": person(FEMALE_LATIN, FEMALE_LATIN, "-"),
-            "GIVEN_LATIN_M": person(MALE_LATIN, MALE_LATIN, "-"),
-            "GIVEN_CYRILLIC_F": person(FEMALE_CYRILLIC, FEMALE_CYRILLIC, "-"),
-            "GIVEN_CYRILLIC_M": person(MALE_CYRILLIC, MALE_CYRILLIC, "-"),
+            "GIVEN_LATIN_F": person(FEMALE_LATIN, "-"),
+            "GIVEN_LATIN_M": person(MALE_LATIN, "-"),
+            "GIVEN_CYRILLIC_F": person(FEMALE_CYRILLIC, "-"),
+            "GIVEN_CYRILLIC_M": person(MALE_CYRILLIC, "-"),
             "FAMILY_LATIN": family(STEMS_LATIN, ENDS_LATIN, ""),
             "FAMILY_CYRILLIC_F": family(STEMS_CYRILLIC, ENDS_CYRILLIC, "а"),
             "FAMILY_CYRILLIC_M": family(STEMS_CYRILLIC, ENDS_CYRILLIC, ""),
@@ -253,7 +254,7 @@ def replace_pii(df: DataFrame, secret: str, text_col: str = "text", count_col: s
     text, matches = F.col(f"`{text_col}`"), F.col("__pii_matches")
     columns = [F.col(f"`{c}`") for c in df.columns if c != count_col]
     number = [F.size(matches).alias(count_col)] if count_col else []
-    found = F.when(text.rlike(r"[0-9@]|\p{Lu}\p{Ll}++\.? \p{Lu}\p{Ll}"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    found = F.when(text.rlike(r"[0-9@]|\p{Lu}\p{Ll}++\.? \p{Lu}\p{Ll}|[A-Fa-f]{32}|AKIA[A-Z]{16}|gh[pousr]_[A-Za-z]{36}"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     marked = df.withColumn("__pii_matches", F.coalesce(found, F.array().cast("array<string>")))
     as_is = marked.where(F.size(matches) == 0).select(*columns, *number)
     hit = marked.where(F.size(matches) > 0).withColumn("__pii_key", F.sha2(text.cast("binary"), 256))
