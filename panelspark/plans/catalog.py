@@ -304,13 +304,13 @@ def q_l3_standardize(s, d):
 def q_l3_kmeans(s, d):
     from ..operators import regimes
 
-    return rounded(regimes.cluster(_minutes(s, d), k_values=(2, 3), restarts=2).diagnostics, 4)
+    return rounded(regimes.cluster(_minutes(s, d)).diagnostics, 4)
 
 
 def q_l3_hmm(s, d):
     from ..operators import regimes
 
-    return rounded(regimes.hidden_states(_minutes(s, d), k_values=(2,), rounds=5).diagnostics, 4)
+    return rounded(regimes.hidden_states(_minutes(s, d)).diagnostics, 4)
 
 
 def q_walk_forward_splits(s, d):
