@@ -12,8 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a filter of documents: 2 MB, whatever their number.
+#: Bits of a filter of documents, 2 MB at least and 32 MB at most; in between eight for each id.
 FILTER_BITS = 1 << 24
+MOST_FILTER_BITS = 1 << 28
 
 
 #: Rows of an Arrow batch where the session doesn't say: texts can be long, and a worker holds a batch several times.
@@ -45,12 +46,14 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(self.path(name))
+        self.names.add(name)
         return self.read(df, name)
 
     def read(self, like: DataFrame, name: str) -> DataFrame:
@@ -62,6 +65,14 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(hadoop).delete(path, True)
+            self.names.discard(name)
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """Saves ``df``, frees every other table of this scratch and lets Spark clean up the shuffles behind them."""
+        out = self.save(df, name)
+        self.drop(*(self.names - {name}))
+        self.spark._jvm.System.gc()
+        return out
 
 
 def need(df: DataFrame, *columns: str) -> None:
@@ -85,8 +96,10 @@ def slot_of(column: Column, bits: int = FILTER_BITS) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(bits)).cast("long")
 
 
-def filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """A bit for each slot that an id of ``ids`` falls into: at most ``bits`` / 64 longs are read back, whatever the number of ids."""
+def filter_of(ids: DataFrame, bits: int | None = None) -> bytes:
+    """A bit for each slot that an id of ``ids`` falls into: at most MOST_FILTER_BITS / 64 longs are read back, whatever the number of ids."""
+    if bits is None:
+        bits = min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (8 * ids.count()).bit_length()))
     slot = slot_of(F.col(ids.columns[0]), bits)
     words_ = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
     table = np.zeros(bits // 64, np.int64)
@@ -105,8 +118,9 @@ def routed(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataF
 
     The rows aren't shuffled: a filter of bits of a fixed size decides, and lets some others pass when it fills up.
     """
-    shared = df.sparkSession.sparkContext.broadcast(filter_of(ids))
-    slotted = df.withColumn("__slot", F.coalesce(slot_of(F.col(f"`{id_col}`").cast("long")), F.lit(0)))
+    bits = filter_of(ids)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    slotted = df.withColumn("__slot", F.coalesce(slot_of(F.col(f"`{id_col}`").cast("long"), 8 * len(bits)), F.lit(0)))
 
     def part(want: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

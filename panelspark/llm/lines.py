@@ -1,56 +1,65 @@
 """Line deduplication: fuzzy lines by SimHash.
 
 A line is normalised: letters lower-cased, digits made 0, ASCII signs and white space made single spaces.  Lines of at
-least ``min_words`` words take part; shorter ones, and blank ones, always stay.
-
-1. Equal normalised lines (64-bit hash of the words) are one line.  Each has a 64-bit SimHash of its words.
-2. Hashes that differ in at most 3 bits agree, by the pigeonhole principle, in at least 2 of 5 blocks: lines meet where
-   one of the 10 pairs of blocks is equal (25 or 26 bits a key, so that unrelated lines seldom meet).
-3. Of those that meet within 3 bits, lines with 1 - edit distance / longer length >= ``similarity`` are linked.
-   Few changed words leave a line within 3 bits.  With ``grams`` candidates are found by characters instead: lines meet
-   where one of BANDS hashes of ROWS minima over their runs of characters is equal (runs of 2, 5 or 8, longer for longer
-   lines), and their SimHashes of runs of 3 may differ in 30, 26 or 20 bits.  Recall: see the README and the tests.
+least ``min_words`` words take part (all that aren't blank, by default); others always stay.
+
+1. Equal normalised lines (64-bit hash of the words) are one line.
+2. Candidates.  Blocks of a 64-bit SimHash can't find lines of edit similarity 0.8: such lines differ in some 18 bits,
+   so that blocks by the pigeonhole principle would have three bits.  Blocks are therefore built of minima: lines meet
+   where one of BANDS hashes of ROWS minima over their features is equal.  The features are pairs of neighbouring words;
+   for lines of few words, or of very long ones, runs of bytes (see _classes).  The SimHash of the same features screens
+   those that meet: it may differ in MOST bits.
+3. Lines with 1 - edit distance / longer length >= ``similarity`` are linked; nothing else is.  Candidates are linked by
+   stars, not pair by pair (see linking).  Members of a group that are apart from its pivot meet again on minima over
+   the features that the pivot doesn't have, so that a passage that many lines hold makes no pairs.
 4. Links are closed to groups; of each group's occurrences the first stays (smallest document, then line), all others go.
 
-Candidates are linked by stars, not pair by pair (see linking).  Only numbers and hashes of lines are shuffled, texts
-only of candidate lines and of documents that lose lines.
+Recall of the candidates: see the README and the tests.  Only numbers and hashes of lines are shuffled, texts only of
+lines that meet others and of documents that lose lines.
 
 Null text stays null and has no lines.  Rows without a doc_id lose nothing and take part in nothing.  Rows that repeat
-both doc_id and text are one document; rows that repeat the doc_id alone are ordered by a hash of the text.  All
-columns come back; n_lines, n_removed and n_left (lines left that took part) replace columns of these names.
-Names starting with ``__`` are reserved.
+both doc_id and text are one document; rows that repeat the doc_id alone are ordered by a hash of the text.  Lines of
+any length take part whole; an edit distance takes time in proportion to the product of the lengths of what two lines
+don't start and end with alike, divided by the bits of a machine word.  All columns come back; n_lines, n_removed and
+n_left (lines left that took part) replace columns of these names.  Names starting with ``__`` are reserved.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, need, routed, texts_of
-from .linking import link_members, members_of
+from .common import Scratch, filter_of, in_filter, need, slot_of, texts_of
+from .linking import link_members
 from .substrings import bloom_has, bloom_of
-from .textscan import as_long, mix, slices, string_buffers, words
+from .textscan import Words, as_long, mix, slices, string_buffers, words
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 SIMILARITY = 0.8
-DISTANCE = 3
-#: Candidates by characters: lengths from which lines are cut into longer runs, the length of these runs, and the most
-#: bits in which SimHashes may differ (chosen from measured pairs with similarity 0.8, see the README).
-CLASSES = ((1, 2, 30), (24, 5, 26), (96, 8, 20))
-BANDS = 20
+BANDS = 16
 ROWS = 3
-_WIDTHS = (13, 13, 13, 13, 12)
-
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-_SHIFTS = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)).astype(np.uint32)
-_BAND = mix(np.arange(5001, BANDS + 5001, dtype=np.uint64))
-_FACTORS = mix(np.arange(7001, 7009, dtype=np.uint64)) | np.uint64(1)
+#: Bands of lines of few words, which one changed word changes most.
+SHORT_BANDS = 24
+#: Lines from WORDY words on meet by pairs of words, those of less than FEW by runs of bytes, those in between by both.
+WORDY = 14
+FEW = 18
+#: Bytes a word up to which a line counts as one of words.
+LONG_WORD = 20
+#: Most bits in which SimHashes may differ: over pairs of words, over runs of bytes.
+MOST = 27
+MOST_SHORT = 29
+
+_SEEDS = mix(np.arange(1, SHORT_BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_SHIFTS = mix(np.arange(1001, SHORT_BANDS * ROWS + 1001, dtype=np.uint64)).astype(np.uint32)
+_BAND = mix(np.arange(5001, SHORT_BANDS + 5001, dtype=np.uint64))
+_FACTORS = mix(np.arange(7001, 7017, dtype=np.uint64)) | np.uint64(1)
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[c for c in range(128) if not chr(c).isalnum() and c != 10]] = 32
@@ -73,20 +82,22 @@ def _lines(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield rows, data, np.append(starts, len(data)), row, number
 
 
-def _hashes(data: np.ndarray, offs: np.ndarray, similar: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, hash, SimHash) of each line; without ``similar`` the last is 0."""
+class Line(NamedTuple):
+    """Lines of a slice: words of each, a hash of them, the words, the bytes of each without white space around."""
+
+    n: np.ndarray
+    hash: np.ndarray
+    words: Words
+
+
+def _hashes(data: np.ndarray, offs: np.ndarray) -> Line:
     w = words(data, offs)
     n = np.diff(w.first)
     place = np.arange(len(w.hash), dtype=np.int64) - np.repeat(w.first[:-1], n)
     with np.errstate(over="ignore"):
         salted = mix(w.hash + mix((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(salted, dtype=np.uint64)])
-        line = mix(sums[w.first[1:]] - sums[w.first[:-1]] + n.astype(np.uint64))
-    sim = np.zeros(len(n), np.uint64)
-    some = np.flatnonzero(n)
-    if similar and len(some):
-        sim[some] = _majority(w.hash, w.first[some], n[some])
-    return n, line, sim
+        return Line(n, mix(sums[w.first[1:]] - sums[w.first[:-1]] + n.astype(np.uint64)), w)
 
 
 def _majority(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -100,111 +111,168 @@ def _majority(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarra
     return sim
 
 
-def _runs(chars: np.ndarray, first: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first, number) of the runs of ``length`` characters of each line; a shorter line is one run."""
-    n = np.maximum(size - length + 1, 1)
+def _keys(hashes: np.ndarray, start: np.ndarray, bands: int, salt: int) -> np.ndarray:
+    """(lines, bands) hashes of ROWS minima over the features of each line."""
+    small = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(start), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(bands):
+            part = np.full(len(start), _BAND[b] + np.uint64(salt), np.uint64)
+            for r in range(b * ROWS, (b + 1) * ROWS):
+                part = mix(part + np.minimum.reduceat((small ^ _SHIFTS[r]) * _SEEDS[r], start))
+            out[:, b] = part
+    return out
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges of ``n`` from ``first``, one after the other, and where each range begins in them."""
     start = np.cumsum(n) - n
-    at = np.arange(int(n.sum())) + np.repeat(first - start, n)
+    return np.arange(int(n.sum())) + np.repeat(first - start, n), start
+
+
+def _runs(flat: np.ndarray, first: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first, number) of the runs of ``length`` bytes of each line; a shorter line is one run."""
+    n = np.maximum(size - length + 1, 1)
+    at, start = _ranges(first, n)
     end = np.repeat(first + size, n)
     total = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(length):
             inside = at + k < end
-            total += np.where(inside, chars[np.minimum(at + k, len(chars) - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0)) * _FACTORS[k]
+            total += np.where(inside, flat[np.minimum(at + k, len(flat) - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0)) * _FACTORS[k]
     return mix(total), start, n
 
 
-def signatures(texts: list[str], similarity: float) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(characters, SimHash of runs of 3, band keys) of normalised lines."""
-    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    size = np.array([len(t) for t in texts], np.int64)
-    first = np.cumsum(size) - size
-    sim = _majority(*_runs(chars, first, size, 3))
-    shortest = np.ceil(size * similarity - 1e-9)
+class Signed(NamedTuple):
+    """Signatures of lines: characters, words, SimHash over pairs of words and over runs of bytes, band keys."""
+
+    size: np.ndarray
+    sim: np.ndarray
+    short_sim: np.ndarray
+    bands: pa.Array
+
+
+def _classes(bytes_: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """(which lines, bytes of a run) of lines that meet by runs of bytes; lines near a limit are in two classes."""
+    few = (n < FEW) | (bytes_ > LONG_WORD * n)
+    return [(few & (bytes_ < 40), 3), (few & (bytes_ >= 32) & (bytes_ < 125), 6), (few & (bytes_ >= 100), 12)]
+
+
+def signatures(data: np.ndarray, w: Words, some: np.ndarray) -> Signed:
+    """Signatures of the lines ``some`` (all with words)."""
+    first, n = w.first[some], w.first[some + 1] - w.first[some]
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    length = np.concatenate([[0], np.cumsum(w.end - w.start)])
+    count = np.concatenate([[0], np.cumsum(chars[w.end] - chars[w.start])])
+    size = count[first + n] - count[first] + n - 1
+    bytes_ = length[first + n] - length[first] + n - 1
+    sim, short = np.zeros(len(some), np.uint64), np.zeros(len(some), np.uint64)
     whose, keys = [], []
-    for i, (low, length, _) in enumerate(CLASSES):
-        high = CLASSES[i + 1][0] if i + 1 < len(CLASSES) else np.inf
-        # a line meets shorter ones in their class
-        some = np.flatnonzero((size >= low) & (shortest < high))
-        if not len(some):
-            continue
-        hashes, start, _ = _runs(chars, first[some], size[some], length)
-        small = (hashes >> np.uint64(32)).astype(np.uint32)
-        key = np.empty((len(some), BANDS), np.uint64)
+
+    def add(lines: np.ndarray, made: np.ndarray) -> None:
+        whose.append(np.repeat(lines, made.shape[1]))
+        keys.append(made.ravel())
+
+    wordy = np.flatnonzero((n >= WORDY) & (bytes_ <= LONG_WORD * n))
+    if len(wordy):
+        at, start = _ranges(first[wordy], n[wordy] - 1)
         with np.errstate(over="ignore"):
-            for b in range(BANDS):
-                part = np.full(len(some), _BAND[b] + np.uint64(length), np.uint64)
-                for r in range(b * ROWS, (b + 1) * ROWS):
-                    part = mix(part + np.minimum.reduceat((small ^ _SHIFTS[r]) * _SEEDS[r], start))
-                key[:, b] = part
-        whose.append(some)
-        keys.append(key)
+            pairs = mix(w.hash[at] * _FACTORS[0] + w.hash[at + 1])
+        sim[wordy] = _majority(pairs, start, n[wordy] - 1)
+        add(wordy, _keys(pairs, start, BANDS, 0))
+    few = np.flatnonzero((n < FEW) | (bytes_ > LONG_WORD * n))
+    if len(few):
+        at, _ = _ranges(first[few], n[few])
+        spread, begin = _ranges(w.start[at], w.end[at] - w.start[at] + 1)
+        flat = data[np.minimum(spread, len(data) - 1)]
+        # each word is followed by one space, the last one too
+        flat[np.append(begin[1:], len(flat)) - 1] = 32
+        extent = bytes_[few] + 1
+        place = np.cumsum(extent) - extent
+        short[few] = _majority(*_runs(flat, place, bytes_[few], 3))
+        for which, run in _classes(bytes_[few], n[few]):
+            mine = np.flatnonzero(which)
+            if len(mine):
+                hashes, start, _ = _runs(flat, place[mine], bytes_[few][mine], run)
+                add(few[mine], _keys(hashes, start, SHORT_BANDS if run < 12 else BANDS, run))
     owner = np.concatenate(whose)
-    values = np.concatenate(keys)[np.argsort(owner, kind="stable")].ravel()
-    ends = np.cumsum(np.bincount(owner, minlength=len(texts))) * BANDS
-    bands = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(as_long(values)))
-    return size, sim, bands
+    values = np.concatenate(keys)[np.argsort(owner, kind="stable")]
+    ends = np.cumsum(np.bincount(owner, minlength=len(some)))
+    return Signed(size, sim, short, pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(as_long(values))))
 
 
-def _sign(min_words: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, data, offs, _, _ in _lines(batch):
-                n, line, _ = _hashes(data, offs, similar=False)
-                raw = data.tobytes()
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                some, texts = [], []
-                for i in np.flatnonzero(n >= min_words).tolist():
-                    h = int(line[i])
-                    if h not in seen:
-                        seen.add(h)
-                        some.append(i)
-                        texts.append(b" ".join(raw[offs[i] : offs[i + 1]].split()).decode())
-                if some:
-                    size, sim, bands = signatures(texts, similarity)
-                    yield pa.RecordBatch.from_arrays([pa.array(as_long(line[some])), pa.array(size.astype(np.int32)), pa.array(as_long(sim)), bands], ["line", "size", "sim", "bands"])
+SIGNED = "doc_id long, key long, number int, line long, size int, words int, sim long, short_sim long, bands array<long>"
 
-    return run
 
+def _sign(min_words: int):
+    """Every line that takes part; with its signature where this task meets its text first."""
 
-def _scan(min_words: int, similar: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for rows, data, offs, row, number in _lines(batch):
-                n, line, sim = _hashes(data, offs, similar)
-                use = np.flatnonzero(n >= min_words)
-                at = pa.array(row[use])
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(at), rows.column("key").take(at), pa.array(number[use].astype(np.int32)), pa.array(as_long(line[use])), pa.array(as_long(sim[use]))], ["doc_id", "key", "number", "line", "sim"])
+                found = _hashes(data, offs)
+                use = np.flatnonzero(found.n >= min_words)
+                if not len(use):
+                    continue
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                distinct, at = np.unique(found.hash[use], return_index=True)
+                new = [i for h, i in zip(distinct.tolist(), at.tolist(), strict=True) if h not in seen]
+                seen.update(distinct.tolist())
+                new = np.sort(np.array(new, np.int64))
+                filled = np.zeros(len(use), bool)
+                filled[new] = True
+                spread = pa.array(np.where(filled, np.cumsum(filled) - 1, 0), mask=~filled)
+                owner = pa.array(row[use])
+                columns = [rows.column("doc_id").take(owner), rows.column("key").take(owner), pa.array(number[use].astype(np.int32)), pa.array(as_long(found.hash[use]))]
+                if len(new):
+                    made = signatures(data, found.words, use[new])
+                    signed = [pa.array(made.size.astype(np.int32)), pa.array(found.n[use[new]].astype(np.int32)), pa.array(as_long(made.sim)), pa.array(as_long(made.short_sim)), made.bands]
+                    columns += [c.take(spread) for c in signed]
+                else:
+                    columns += [pa.nulls(len(use), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "number", "line", "size", "words", "sim", "short_sim", "bands"])
 
     return run
 
 
 def _texts(min_words: int, bloom):
-    """Normalised texts of the lines that may be in the filter."""
+    """Normalised texts of the lines that may be in the filter, once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bloom.value, np.uint64)
+        seen: set[int] = set()
         for batch in batches:
             for _, data, offs, _, _ in _lines(batch):
-                n, line, _ = _hashes(data, offs, similar=False)
-                use = np.flatnonzero((n >= min_words) & bloom_has(table, line))
+                found = _hashes(data, offs)
+                use = np.flatnonzero((found.n >= min_words) & bloom_has(table, found.hash))
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                new = [i for i, h in zip(use.tolist(), found.hash[use].tolist(), strict=True) if not (h in seen or seen.add(h))]
                 raw = data.tobytes()
-                texts = [b" ".join(raw[offs[i] : offs[i + 1]].split()).decode() for i in use.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(line[use])), pa.array(texts, pa.string())], ["line", "norm"])
+                texts = [b" ".join(raw[offs[i] : offs[i + 1]].split()).decode() for i in new]
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(found.hash[new])), pa.array(texts, pa.string())], ["line", "norm"])
 
     return run
 
 
+def _common(a: str, b: str) -> int:
+    """Length of what both start with."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def edit_distance(a: str, b: str) -> int:
     """Edit distance by bit vectors (one step for each character of ``b``), after what both start and end with."""
-    i, n = 0, min(len(a), len(b))
-    while i < n and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < n - i and a[-1 - j] == b[-1 - j]:
-        j += 1
+    i = _common(a, b)
+    j = _common(a[i:][::-1], b[i:][::-1])
     a, b = a[i : len(a) - j], b[i : len(b) - j]
     if not a or not b:
         return len(a) + len(b)
@@ -229,128 +297,197 @@ def _shared(a: str, b: str) -> int:
     return sum(min(n, y[k]) for k, n in x.items() if k in y)
 
 
+def _few_edits(a: str, b: str, most: int) -> bool:
+    """Whether going through both word by word, with a look at the next words where they differ, takes ``most`` edits or less.
+
+    Never says yes of lines that are further apart."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        after = [(p + q, p, q) for p in range(4) for q in range(4) if p + q and x[i + p : i + p + 2] == y[j + q : j + q + 2]]
+        _, p, q = min(after) if after else (0, 1, 1)
+        u, v = " ".join(x[i : i + p]), " ".join(y[j : j + q])
+        # without words on one side, their spaces go too
+        cost += edit_distance(u, v) if p and q else len(u) + len(v) + 1
+        if cost > most:
+            return False
+        i, j = i + p, j + q
+    rest = " ".join(x[i:]) + " ".join(y[j:])
+    return cost + (len(rest) + 1 if i < len(x) or j < len(y) else 0) <= most
+
+
+def near(a: str, b: str, similarity: float) -> bool:
+    """Whether 1 - edit distance / longer length >= ``similarity``."""
+    most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    return _few_edits(a, b, most) or (_shared(a, b) >= max(len(a), len(b)) - 1 - 2 * most and edit_distance(a, b) <= most)
+
+
 def _near(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
-                most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
-                keep.append(abs(len(x) - len(y)) <= most and _shared(x, y) >= max(len(x), len(y)) - 1 - 2 * most and edit_distance(x, y) <= most)
+            keep = [near(x, y, similarity) for x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _keys(sim: Column) -> Column:
-    at = np.cumsum((0, *_WIDTHS))
-    blocks = [F.shiftrightunsigned(sim, int(at[i])).bitwiseAND(F.lit((1 << w) - 1)) for i, w in enumerate(_WIDTHS)]
-    pairs = [F.lit(k << 32).bitwiseOR(F.shiftleft(blocks[i], 13)).bitwiseOR(blocks[j]) for k, (i, j) in enumerate(combinations(range(5), 2))]
-    return F.array(*pairs)
+def _features(line: str) -> set[str]:
+    w = line.split(" ")
+    return {f"{p} {q}" for p, q in zip(w, w[1:], strict=False)} if len(w) >= WORDY else {line[i : i + 4] for i in range(max(1, len(line) - 3))}
+
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of two minima each over the features of a line that its pivot doesn't have."""
+    bands = 8
+    for batch in batches:
+        made = []
+        for x, p in zip(batch.column("norm").to_pylist(), batch.column("np").to_pylist(), strict=True):
+            own = _features(x) - _features(p)
+            if not own:
+                made.append([])
+                continue
+            h = np.array([crc32(f.encode()) for f in own], np.uint32)
+            with np.errstate(over="ignore"):
+                least = ((h ^ _SHIFTS[: 2 * bands, None]) * _SEEDS[: 2 * bands, None]).min(axis=1).reshape(bands, 2).astype(np.uint64)
+                made.append(as_long(mix(mix(_BAND[:bands] + least[:, 0]) + least[:, 1])).tolist())
+        kept = [c for c in batch.schema.names if c not in {"norm", "np"}]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.list_(pa.int64()))], [*kept, "keys"])
 
-def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, grams: bool = False) -> DataFrame:
+
+def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, key, gone (numbers of lines to remove) of (doc_id, key, text) rows that lose lines."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     usable = docs.where("doc_id is not null and text is not null")
-    places = scratch.save(usable.mapInArrow(_scan(min_words, not grams), "doc_id long, key long, number int, line long, sim long"), "places")
-    lines = places.groupBy("line").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "key", "number")).alias("first"), F.max(F.struct("doc_id", "key", "number")).alias("last"))
-    lines = scratch.save(lines, "lines")
+    signed = scratch.save(usable.mapInArrow(_sign(min_words), SIGNED), "signed")
+    lines = signed.groupBy("line").agg(F.min(F.struct("doc_id", "key", "number")).alias("first"), F.max(F.struct("doc_id", "key", "number")).alias("last"))
+    repeated = lines.where("first <> last")
+
+    # several tasks may have signed the same line: it is in a bucket more than once, and bands have one line each then
+    bucket = Window.partitionBy("band")
+    rows = signed.where("bands is not null").select(F.col("line").alias("rep"), F.explode("bands").alias("band"))
+    met = rows.select("rep", F.min("rep").over(bucket).alias("first"), F.max("rep").over(bucket).alias("last"), F.count("*").over(bucket).alias("n")).where("first <> last")
+    members = scratch.save(met.groupBy("first", "rep").agg(F.max("n").alias("n")), "members")
+    mine = scratch.save(members.select("rep").distinct(), "mine")
+    features = signed.where("bands is not null").select(F.col("line").alias("rep"), F.struct("size", "words", "sim", "short_sim").alias("feature"))
+    features = scratch.save(features.join(mine, "rep", "left_semi").dropDuplicates(["rep"]), "features")
+    bloom = sc.broadcast(bloom_of(mine, max(1 << 16, mine.count())))
+    norms = usable.select("doc_id", "text").mapInArrow(_texts(min_words, bloom), "line long, norm string").dropDuplicates(["line"])
+    norms = scratch.save(norms, "norms")
 
     def close(a: Column, b: Column) -> Column:
-        if not grams:
-            return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
-        least, most = F.least(a["size"], b["size"]), F.when(F.lit(False), 0)
-        for low, _, bits in reversed(CLASSES):
-            most = most.when(least >= low, bits)
-        return (least >= F.greatest(a["size"], b["size"]) * similarity - 1e-6) & (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= most)
+        sized = F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * similarity - 1e-6
+        by_words = (a["sim"] != 0) & (b["sim"] != 0)
+        bits = F.when(by_words, F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= MOST).otherwise(F.bit_count(a["short_sim"].bitwiseXOR(b["short_sim"])) <= MOST_SHORT)
+        return sized & bits
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-        ids = scratch.save(ids, "candidates" + str(confirmed.calls))
-        bloom = spark.sparkContext.broadcast(bloom_of(ids, max(1 << 16, ids.count())))
-        texts = usable.select("doc_id", "text").mapInArrow(_texts(min_words, bloom), "line long, norm string")
-        texts = scratch.save(texts.groupBy("line").agg(F.min("norm").alias("norm")), "norms" + str(confirmed.calls))
-        confirmed.calls += 1
-        a = texts.select(F.col("line").alias("a"), F.col("norm").alias("na"))
-        b = texts.select(F.col("line").alias("b"), F.col("norm").alias("nb"))
+        a = norms.select(F.col("line").alias("a"), F.col("norm").alias("na"))
+        b = norms.select(F.col("line").alias("b"), F.col("norm").alias("nb"))
         return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb").mapInArrow(_near(similarity), "a long, b long")
 
-    confirmed.calls = 0
-    if grams:
-        signed = usable.select("text").mapInArrow(_sign(min_words, similarity), "line long, size int, sim long, bands array<long>")
-        signed = scratch.save(signed.dropDuplicates(["line"]), "signed")
-        rows = signed.select(F.col("line").alias("rep"), F.explode("bands").alias("band"))
-        features = signed.select(F.col("line").alias("rep"), F.struct("size", "sim").alias("feature"))
-        # a line is in a bucket once, so that a window serves and rows are dealt once
-        bucket = Window.partitionBy("band")
-        members = rows.select("band", "rep", F.min("rep").over(bucket).alias("first"), F.count("*").over(bucket).alias("n"))
-        members = scratch.save(members.where("n > 1"), "members")
-    else:
-        rows = lines.select(F.col("line").alias("rep"), F.explode(_keys(F.col("sim"))).alias("band"))
-        features = lines.select(F.col("line").alias("rep"), F.col("sim").alias("feature"))
-        members = members_of(rows, scratch)
-    _, found = link_members(members, features, close, confirmed, scratch)
+    def residue(groups: DataFrame) -> DataFrame:
+        own = norms.select(F.col("line").alias("rep"), "norm")
+        pivots = norms.select(F.col("line").alias("pivot"), F.col("norm").alias("np"))
+        both = groups.join(own, "rep").join(pivots, "pivot").select("pivot", "rep", "of_rep", "apart", "norm", "np")
+        keyed = scratch.save(both.mapInArrow(_apart, "pivot long, rep long, of_rep long, apart boolean, keys array<long>"), "apart")
+        keyed = keyed.select("pivot", "rep", "of_rep", "apart", F.explode("keys").alias("band"))
+        # stars again: among the members that share a key with one that is apart
+        bucket = Window.partitionBy("pivot", "band")
+        star = keyed.withColumns({"some": F.max("apart").over(bucket), "a": F.min("rep").over(bucket), "of_a": F.min_by("of_rep", "rep").over(bucket)})
+        return star.where("some and a <> rep and of_a <> of_rep").select("a", F.col("rep").alias("b"))
+
+    found = link_members(members, features, close, confirmed, residue, scratch)
     if found is None:
-        groups = lines.where("first <> last").select("line", F.col("first").alias("stays"))
+        groups = repeated.select("line", F.col("first").alias("stays"))
     else:
-        named = lines.join(found.withColumnRenamed("node", "line"), "line", "left")
+        named = lines.join(found.withColumnRenamed("node", "line"), "line", "left").where("first <> last or component is not null")
+        named = scratch.save(named.select("line", "first", "component"), "named")
         stays = named.where("component is not null").groupBy("component").agg(F.min("first").alias("stays"))
-        groups = named.where("first <> last or component is not null").join(stays, "component", "left").select("line", F.coalesce("stays", "first").alias("stays"))
-    groups = scratch.save(groups, "groups")
-    lost = places.join(groups, "line").where(F.struct("doc_id", "key", "number") != F.col("stays"))
-    return scratch.save(lost.groupBy("doc_id", "key").agg(F.collect_set("number").alias("gone")), "lost")
+        groups = named.join(stays, "component", "left").select("line", F.coalesce("stays", "first").alias("stays"))
+    lost = signed.select("doc_id", "key", "number", "line").join(groups, "line").where(F.struct("doc_id", "key", "number") != F.col("stays"))
+    return scratch.finish(lost.groupBy("doc_id", "key").agg(F.collect_set("number").alias("gone")), "lost")
 
 
 def _apply(min_words: int):
+    """Takes the lines ``__gone`` out of ``__text`` and counts lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every, removed, left, texts = [], [], [], []
             done = 0
             gone_of = batch.column("__gone").to_pylist()
             plain = pa.RecordBatch.from_arrays([batch.column("__text")], ["text"])
-            for rows, data, offs, row, number in _lines(plain):
-                n = np.diff(words(data, offs).first)
-                for i, text in enumerate(rows.column("text").to_pylist()):
-                    gone = set(gone_of[done + i] or ())
-                    some = n[slice(*np.searchsorted(row, [i, i + 1]))] >= min_words
-                    if text is None:
-                        every.append(0)
-                        removed.append(0)
-                        left.append(0)
-                        texts.append(None)
-                        continue
-                    every.append(len(some))
-                    removed.append(len(gone))
-                    left.append(int(some.sum()) - len(gone))
-                    texts.append("\n".join([x for k, x in enumerate(text.split("\n")) if k not in gone]) if gone else text)
+            for rows, data, offs, row, _ in _lines(plain):
+                some = np.bincount(row[_starts(data, offs) >= min_words], minlength=rows.num_rows)
+                count = np.bincount(row, minlength=rows.num_rows)
+                column = rows.column("text")
+                for i in range(rows.num_rows):
+                    gone, there = gone_of[done + i], column[i].is_valid
+                    every.append(int(count[i]) if there else 0)
+                    removed.append(len(gone) if gone and there else 0)
+                    left.append(int(some[i]) - removed[-1] if there else 0)
+                    if gone and there:
+                        gone = set(gone)
+                        texts.append("\n".join([x for k, x in enumerate(column[i].as_py().split("\n")) if k not in gone]))
+                    elif any(gone_of):
+                        texts.append(column[i].as_py())
                 done += rows.num_rows
-            made = {"__text": pa.array(texts, pa.string()), "n_lines": pa.array(every, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_left": pa.array(left, pa.int64())}
+            text = pa.array(texts, pa.string()) if any(gone_of) else batch.column("__text")
+            made = {"__text": text, "n_lines": pa.array(every, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_left": pa.array(left, pa.int64())}
             names = [c for c in batch.schema.names if c not in {"__text", "__gone"}]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made.values()], [*names, *made])
 
     return run
 
 
-def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", grams: bool = False) -> DataFrame:
-    """``df`` with repeated and nearly repeated lines removed from ``text_col``, and n_lines, n_removed, n_left.
+def _starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Words of each line."""
+    solid = data > 32
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    inner = offs[1:-1]
+    inner = inner[inner < len(data)]
+    begins[inner] = solid[inner]
+    return np.diff(np.concatenate([[0], np.cumsum(begins)])[offs])
 
-    ``grams`` finds candidates by characters instead of words."""
+
+def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with repeated and nearly repeated lines removed from ``text_col``, and n_lines, n_removed, n_left."""
     need(df, id_col, text_col)
-    scratch = Scratch(df.sparkSession)
-    lost = line_groups(texts_of(df, id_col, text_col).withColumn("key", F.xxhash64("text")), scratch, min_words, similarity, grams)
+    spark = df.sparkSession
+    lost = line_groups(texts_of(df, id_col, text_col).withColumn("key", F.xxhash64("text")), Scratch(spark), min_words, similarity)
     counts = ["n_lines", "n_removed", "n_left"]
     names = [c for c in df.columns if c not in counts]
     others = [F.col(f"`{c}`") for c in names if c != text_col]
-    carried = df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("__key"), *others, F.col(f"`{text_col}`").cast("string").alias("__text"))
-    hit, rest = routed(carried, lost.select("doc_id").distinct(), "__id")
+    bits = filter_of(lost.select("doc_id").distinct())
+    id_ = F.col(f"`{id_col}`").cast("long")
+    # documents that lose nothing aren't shuffled: a filter of bits lets only some of them pass
+    carried = df.select(id_.alias("__id"), F.coalesce(slot_of(id_, 8 * len(bits)), F.lit(0)).alias("__slot"), *others, F.col(f"`{text_col}`").cast("string").alias("__text"))
+    shared = spark.sparkContext.broadcast(bits)
+
+    def part(want: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = in_filter(shared.value, batch.column("__slot").to_numpy())
+                yield batch.filter(pa.array(hit == want))
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _apply(min_words)(b.append_column("__gone", pa.nulls(b.num_rows, pa.list_(pa.int32()))) for b in run(batches)):
+                yield batch.drop_columns(["__id", "__slot"])
+
+        return run if want else counted
+
+    def schema_of(some: DataFrame):
+        kept = [f for f in some.schema.fields if f.name not in {"__id", "__key", "__slot", "__text", "__gone"}]
+        return type(some.schema)(kept).add("__text", "string").add("n_lines", "long").add("n_removed", "long").add("n_left", "long")
+
+    rest = carried.mapInArrow(part(False), schema_of(carried))
     lost = lost.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    hit = hit.join(lost, ["__id", "__key"], "left")
-    rest = rest.withColumn("__gone", F.lit(None).cast("array<int>"))
-    out = None
-    for part in (rest, hit):
-        part = part.select(*[c for c in carried.columns if c not in {"__id", "__key"}], "__gone")
-        kept = [f for f in part.schema.fields if f.name not in {"__text", "__gone"}]
-        schema = type(part.schema)(kept).add("__text", "string").add("n_lines", "long").add("n_removed", "long").add("n_left", "long")
-        made = part.mapInArrow(_apply(min_words), schema)
-        out = made if out is None else out.unionByName(made)
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *counts)
+    hit = carried.mapInArrow(part(True), carried.schema).withColumn("__key", F.xxhash64("__text")).join(lost, ["__id", "__key"], "left")
+    hit = hit.drop("__id", "__key", "__slot").mapInArrow(_apply(min_words), schema_of(carried))
+    return rest.unionByName(hit).select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *counts)

@@ -10,69 +10,86 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import connected_components
 
-#: Members of each bucket that those apart from its first member meet next.
-PIVOTS = 8
-
 
 def members_of(rows: DataFrame, scratch: Scratch, name: str = "members") -> DataFrame:
-    """(band, rep, first, n) of the buckets of (rep, band) rows that hold several: smallest member, number of members."""
+    """(rep, first, n) of the buckets of (rep, band) rows that hold several: smallest member, most members of such a bucket."""
     buckets = rows.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n")).where("first <> last").select("band", "first", "n")
-    return scratch.save(rows.join(buckets, "band").distinct(), name)
+    met = rows.join(buckets, "band").groupBy("first", "rep").agg(F.max("n").alias("n"))
+    return scratch.save(met, name)
+
+
+def grown(found: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Components (node, component) after ``links`` (a, b) were added to those of ``found``: only components are linked anew."""
+    if found is None:
+        return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, name)
+    a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    moved = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("src"), F.coalesce("cb", "b").alias("dst"))
+    onto = connected_components(moved, scratch, name)
+    old = found.join(onto.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+    # nodes that were in no component before; one of them may be the name of a component
+    return scratch.save(old.unionByName(onto.join(found.select("node"), "node", "left_anti")), f"{name}-grown")
 
 
-def link_members(members: DataFrame, features: DataFrame, screen: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str = "link") -> tuple[list[DataFrame], DataFrame | None]:
-    """Links (a, b) and their components (node, component), None without links.
+def link_members(
+    members: DataFrame,
+    features: DataFrame,
+    screen: Callable[[Column, Column], Column],
+    confirm: Callable[[DataFrame], DataFrame],
+    residue: Callable[[DataFrame], DataFrame],
+    scratch: Scratch,
+    name: str = "link",
+) -> DataFrame | None:
+    """Components (node, component) of the links among ``members``, None without links.
 
     ``features`` has one row (rep, feature) for each member; ``screen`` says of two features whether the pair is worth
-    confirming; ``confirm`` keeps those of a table of pairs (a, b) that are linked.
+    confirming; ``confirm`` keeps those of a table of pairs (a, b) that are linked; ``residue`` proposes pairs (a, b)
+    within groups (pivot, rep, apart), of which one at least is apart, that is, not linked to the pivot.
 
-    Members meet the smallest of their bucket first; then those still apart from it meet PIVOTS members picked by hash;
-    and at last whoever is still apart meets every member of another component, the screen being part of that join.
-    So every pair of a bucket that passes the screen is either confirmed or refused, or in one component already.
+    1. Members meet the first of their buckets.
+    2. All buckets whose firsts are in one component form one group, its smallest member being the pivot.  Members
+       that aren't of the pivot's component yet meet the pivot.
+    3. Members that are still apart are compared with the rest of their group by what sets them off from the pivot
+       (``residue``): what a whole group has in common never makes a pair.
     """
-    a = features.select(F.col("rep").alias("a"), F.col("feature").alias("fa"))
-    b = features.select(F.col("rep").alias("b"), F.col("feature").alias("fb"))
-    links: list[DataFrame] = []
     found: DataFrame | None = None
+    feature_a = features.select(F.col("rep").alias("a"), F.col("feature").alias("fa"))
+    feature_b = features.select(F.col("rep").alias("b"), F.col("feature").alias("fb"))
 
     def settle(pairs: DataFrame, i: int) -> None:
         nonlocal found
-        pairs = scratch.save(pairs, f"{name}-pairs{i}")
-        if pairs.isEmpty():
+        # the left side names whole groups and can be hot: Spark splits it
+        some = pairs.join(feature_b, "b").join(feature_a, "a").where(screen(F.col("fa"), F.col("fb"))).select("a", "b")
+        some = scratch.save(some, f"{name}-pairs{i}")
+        if some.isEmpty():
             return
-        new = scratch.save(confirm(pairs), f"{name}-links{i}")
-        if new.isEmpty():
-            return
-        links.append(new)
-        every = links[0]
-        for some in links[1:]:
-            every = every.unionByName(some)
-        found = connected_components(every.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"{name}-cc{i}")
-
-    def apart(i: int) -> DataFrame:
-        """Members of buckets of three and more, their component and that of the bucket's first member."""
-        if found is None:
-            return members.where("n > 2").select("band", "rep", "first", F.col("rep").alias("own"), F.col("first").alias("its"))
-        mine = found.select(F.col("node").alias("rep"), F.col("component").alias("own"))
-        firsts = found.select(F.col("node").alias("first"), F.col("component").alias("its"))
-        both = members.where("n > 2").join(mine, "rep", "left").join(firsts, "first", "left")
-        return scratch.save(both.select("band", "rep", "first", F.coalesce("own", "rep").alias("own"), F.coalesce("its", "first").alias("its")), f"{name}-state{i}")
+        new = scratch.save(confirm(some), f"{name}-links{i}")
+        if not new.isEmpty():
+            found = grown(found, new, scratch, f"{name}-cc{i}")
 
-    def screened(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(a, "a").join(b, "b").where(screen(F.col("fa"), F.col("fb"))).select("a", "b").distinct()
+    def placed(rows: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` with the component of each of ``columns`` in of_<column>."""
+        for c in columns:
+            if found is None:
+                rows = rows.withColumn(f"of_{c}", F.col(c))
+            else:
+                rows = rows.join(found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+        return rows
 
-    settle(screened(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))), 0)
-    left = apart(0).where("own <> its")
-    if not left.isEmpty():
-        picked = members.where("n > 2").groupBy("band").agg(F.array(*[F.min_by("rep", F.xxhash64(F.lit(i), "rep")) for i in range(PIVOTS)]).alias("some"))
-        met = left.join(picked, "band").select(F.explode(F.array_distinct("some")).alias("p"), "rep").where("rep <> p")
-        settle(screened(met.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))), 1)
-        state = apart(1)
-        left = state.where("own <> its")
-        if not left.isEmpty():
-            x = left.join(features, "rep").select("band", F.col("rep").alias("a"), F.col("own").alias("ca"), "its", F.col("feature").alias("fa"))
-            y = state.join(left.select("band").distinct(), "band", "left_semi").join(features, "rep").select("band", F.col("rep").alias("b"), F.col("own").alias("cb"), F.col("feature").alias("fb"))
-            # two that are both apart from the first meet once
-            meet = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("its")) | (F.col("a") < F.col("b")))
-            settle(x.join(y, (x.band == y.band) & meet & screen(F.col("fa"), F.col("fb"))).select("a", "b").distinct(), 2)
-    return links, found
+    settle(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")), 0)
+    state = placed(members.where("n > 2").select("first", "rep"), "first", "rep")
+    grouped = state.select(F.col("of_first").alias("pivot"), "rep", (F.col("of_first") != F.col("of_rep")).alias("apart"), (F.col("first") == F.col("of_first")).alias("met"))
+    grouped = scratch.save(grouped.groupBy("pivot", "rep").agg(F.max("apart").alias("apart"), F.max("met").alias("met")), f"{name}-groups")
+    open_ = grouped.where("apart").select("pivot").distinct()
+    if open_.isEmpty():
+        return found
+    grouped = scratch.save(grouped.join(open_, "pivot", "left_semi"), f"{name}-open")
+    settle(grouped.where("apart and not met and pivot <> rep").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct(), 1)
+    state = placed(grouped.where("pivot <> rep").select("pivot", "rep"), "pivot", "rep").withColumn("apart", F.col("of_pivot") != F.col("of_rep"))
+    state = scratch.save(state, f"{name}-state")
+    if state.where("apart").isEmpty():
+        return found
+    open_ = state.where("apart").select("pivot").distinct()
+    pairs = residue(state.join(open_, "pivot", "left_semi").select("pivot", "rep", "of_rep", "apart"))
+    settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), 2)
+    return found

@@ -159,8 +159,9 @@ def repeated_words(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     if n == 0:
         return copies
     sc = spark.sparkContext
-    use = sc.broadcast(filter_of(reps.select("doc_id")))
-    texts = docs.select("doc_id", "key", "text", slot_of(F.col("doc_id")).alias("slot"))
+    bits = filter_of(reps.select("doc_id"))
+    use = sc.broadcast(bits)
+    texts = docs.select("doc_id", "key", "text", slot_of(F.col("doc_id"), 8 * len(bits)).alias("slot"))
     parts = -(-n // entries)
     found = []
     for part in range(parts):

@@ -1,19 +1,10 @@
 import random
 
-import pytest
-
 import corpus_pipeline
 from panelspark.llm.queries import op6_fuzzy_lines
-from tests.llm import test_lines
 from tests.llm.test_lines import brute
 
 
-@pytest.fixture
-def by_edits_alone(monkeypatch):
-    """Brute force over edit similarity alone, without a SimHash filter."""
-    monkeypatch.setattr(test_lines, "simhash", lambda w: 0)
-
-
 def changed(seed, n):
     random.seed(seed)
     vocabulary = ["".join(random.choices("abcdefghijklmnopqrstuvwxyzéд", k=random.randint(2, 9))) for _ in range(400)]
@@ -39,17 +30,17 @@ def check(rows, texts):
     """Candidates are found by chance: nothing else goes, and nearly all that should go does."""
     got = {(i, x) for i, t in texts for x in t.split("\n")}
     every = {(i, x) for i, t in rows for x in t.split("\n")}
-    want = {(i, x) for i, _, _, t in brute(rows, 5, 0.8) for x in t.split("\n") if x}
+    want = {(i, x) for i, _, _, t in brute(rows) for x in t.split("\n") if x}
     assert got >= want
     assert len(every - got) >= 0.95 * len(every - want) > 0.5 * len(every)
 
 
-def test_query_finds_lines_with_changed_words(spark, tmp_path, by_edits_alone):
+def test_query_finds_lines_with_changed_words(spark, tmp_path):
     rows = changed(4, 60)
     check(rows, [(r.doc_id, r.text) for r in op6_fuzzy_lines(spark, save(spark, rows, tmp_path)).collect()])
 
 
-def test_pipeline_finds_lines_with_changed_words(spark, tmp_path, by_edits_alone):
+def test_pipeline_finds_lines_with_changed_words(spark, tmp_path):
     rows = changed(5, 40)
     docs = spark.read.parquet(save(spark, rows, tmp_path) + "/documents.parquet")
     check(rows, [(r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()])

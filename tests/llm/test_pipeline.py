@@ -37,7 +37,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
         out[name] = docs.collect()
     first = {r.doc_id: r for r in out["quality classifier"]}
     assert set(first) == {i for i in range(160) if i % 5}
-    lines = {d: (n, gone, t) for d, n, gone, t in brute_lines([(i, r.text) for i, r in first.items()], 5, 0.8)}
+    lines = {d: (n, gone, t) for d, n, gone, t in brute_lines([(i, r.text) for i, r in first.items()])}
     second = {r.doc_id: r for r in out["line dedup"]}
     assert {i: r.text for i, r in second.items()} == {i: t for i, (n, gone, t) in lines.items() if not gone or t}
     assert len(second) < len(first) and all(r.n_chars == len(r.text) for r in second.values())
