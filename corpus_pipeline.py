@@ -43,7 +43,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; one that lost lines and has no word left goes."""
     plain = docs.select(*docs.columns)
-    clean = dedup_lines(plain, min_words=1, grams=True)
+    clean = dedup_lines(plain)
     return _counted(clean.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)), docs)
 
 
@@ -84,4 +84,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.save(docs, f"stage{i}")
+            # what the stage before left has been read for the last time
+            scratch.drop(f"stage{i - 1}")
     return docs
