@@ -46,7 +46,7 @@ def link_members(
     confirming; ``confirm`` keeps those of a table of pairs (a, b) that are linked; ``residue`` proposes pairs (a, b)
     within groups (pivot, rep, apart), of which one at least is apart, that is, not linked to the pivot.
 
-    1. Members meet the first of their buckets.
+    1. Members meet the least of the firsts of their buckets; then those of these firsts that aren't in their component.
     2. All buckets whose firsts are in one component form one group, its smallest member being the pivot.  Members
        that aren't of the pivot's component yet meet the pivot.
     3. Members that are still apart are compared with the rest of their group by what sets them off from the pivot
@@ -76,7 +76,12 @@ def link_members(
                 rows = rows.join(found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
         return rows
 
-    settle(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")), 0)
+    settle(members.where("rep <> first").groupBy(F.col("rep").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), 0)
+    if found is not None:
+        others = placed(members.where("rep <> first").select("first", "rep"), "first", "rep").where("of_first <> of_rep")
+        settle(others.select(F.col("first").alias("a"), F.col("rep").alias("b")), 1)
+    else:
+        settle(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")), 1)
     state = placed(members.where("n > 2").select("first", "rep"), "first", "rep")
     grouped = state.select(F.col("of_first").alias("pivot"), "rep", (F.col("of_first") != F.col("of_rep")).alias("apart"), (F.col("first") == F.col("of_first")).alias("met"))
     grouped = scratch.save(grouped.groupBy("pivot", "rep").agg(F.max("apart").alias("apart"), F.max("met").alias("met")), f"{name}-groups")
@@ -84,12 +89,13 @@ def link_members(
     if open_.isEmpty():
         return found
     grouped = scratch.save(grouped.join(open_, "pivot", "left_semi"), f"{name}-open")
-    settle(grouped.where("apart and not met and pivot <> rep").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct(), 1)
+    settle(grouped.where("apart and not met and pivot <> rep").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct(), 2)
     state = placed(grouped.where("pivot <> rep").select("pivot", "rep"), "pivot", "rep").withColumn("apart", F.col("of_pivot") != F.col("of_rep"))
     state = scratch.save(state, f"{name}-state")
     if state.where("apart").isEmpty():
         return found
-    open_ = state.where("apart").select("pivot").distinct()
+    # a single member has met the pivot
+    open_ = state.groupBy("pivot").agg(F.max("apart").alias("apart"), F.count("*").alias("n")).where("apart and n > 1").select("pivot")
     pairs = residue(state.join(open_, "pivot", "left_semi").select("pivot", "rep", "of_rep", "apart"))
-    settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), 2)
+    settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), 3)
     return found

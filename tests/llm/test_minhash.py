@@ -59,3 +59,28 @@ def test_repeated_rows_missing_ids_and_empty_table(spark):
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates(df).collect())
     assert got == [("5", 5, True), ("5", 5, True), ("7", 5, False), ("7", 5, False), ("9", 5, False), ("None", None, True)]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_document_with_two_texts_joins_their_classes(spark):
+    random.seed(8)
+    a, b = ([f"{k}{random.randrange(900)}" for _ in range(80)] for k in "ab")
+    near_a, near_b = [*a[:-1], "x"], [*b[:-1], "y"]
+    rows = [(1, a), (1, b), (2, near_a), (3, near_b), (4, random.choices(a, k=60))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_a_large_group_of_copies_equals_brute_force(spark):
+    """Copies of one text, many of them too far from it: only some of these are near to one another."""
+    random.seed(11)
+    base = [f"w{random.randrange(300)}" for _ in range(120)]
+    rows = []
+    for i in range(220):
+        w = list(rows[random.randrange(i)][1].split(" ")) if i and random.random() < 0.3 else list(base)
+        for _ in range(random.choice([1, 2, 4, 6, 7, 8])):
+            k = random.randrange(len(w))
+            w[k : k + random.randint(0, 1)] = [f"w{random.randrange(300)}"] * random.randint(0, 2)
+        rows.append((i, " ".join(w)))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect())
+    want = brute(rows, 2, 80)
+    assert got == want and 10 < sum(kept for *_, kept in want) < 200
