@@ -19,8 +19,8 @@ lines that meet others and of documents that lose lines.
 
 Null text stays null and has no lines.  Rows without a doc_id lose nothing and take part in nothing.  Rows that repeat
 both doc_id and text are one document; rows that repeat the doc_id alone are ordered by a hash of the text.  Lines of
-any length take part whole; an edit distance takes time in proportion to the product of the lengths of what two lines
-don't start and end with alike, divided by the bits of a machine word.  All columns come back; n_lines, n_removed and
+any length take part whole; an edit distance that a walk through both lines word by word doesn't settle takes time in
+proportion to the square of what two lines don't start and end with alike, divided by the bits of a machine word.  All columns come back; n_lines, n_removed and
 n_left (lines left that took part) replace columns of these names.  Names starting with ``__`` are reserved.
 """
 
@@ -35,18 +35,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import Scratch, filter_of, in_filter, need, slot_of, texts_of
 from .linking import link_members
 from .substrings import bloom_has, bloom_of
-from .textscan import Words, as_long, mix, slices, string_buffers, words
+from .textscan import as_long, mix, slices, string_buffers, words
 
 MIN_WORDS = 1
 SIMILARITY = 0.8
-BANDS = 16
+BANDS = 12
 ROWS = 3
 #: Bands of lines of few words, which one changed word changes most.
-SHORT_BANDS = 24
+SHORT_BANDS = 20
 #: Lines from WORDY words on meet by pairs of words, those of less than FEW by runs of bytes, those in between by both.
 WORDY = 14
 FEW = 18
@@ -56,6 +57,9 @@ LONG_WORD = 20
 MOST = 27
 MOST_SHORT = 29
 
+#: Runs of features up to which SimHashes are counted side by side.
+SLICED = 255
+
 _SEEDS = mix(np.arange(1, SHORT_BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = mix(np.arange(1001, SHORT_BANDS * ROWS + 1001, dtype=np.uint64)).astype(np.uint32)
 _BAND = mix(np.arange(5001, SHORT_BANDS + 5001, dtype=np.uint64))
@@ -82,32 +86,42 @@ def _lines(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield rows, data, np.append(starts, len(data)), row, number
 
 
-class Line(NamedTuple):
-    """Lines of a slice: words of each, a hash of them, the words, the bytes of each without white space around."""
-
-    n: np.ndarray
-    hash: np.ndarray
-    words: Words
-
-
-def _hashes(data: np.ndarray, offs: np.ndarray) -> Line:
-    w = words(data, offs)
-    n = np.diff(w.first)
-    place = np.arange(len(w.hash), dtype=np.int64) - np.repeat(w.first[:-1], n)
-    with np.errstate(over="ignore"):
-        salted = mix(w.hash + mix((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(salted, dtype=np.uint64)])
-        return Line(n, mix(sums[w.first[1:]] - sums[w.first[:-1]] + n.astype(np.uint64)), w)
+def _plain_lines(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[list[int], list[bytes], np.ndarray]:
+    """(numbers, normalised bytes, hashes) of the lines with at least ``min_words`` words."""
+    raw = data.tobytes()
+    use, lines = [], []
+    for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        w = raw[a:b].split()
+        if len(w) >= min_words and w:
+            use.append(i)
+            lines.append(b" ".join(w))
+    return use, lines, np.array([xxh3_64_intdigest(x) for x in lines], np.uint64)
 
 
 def _majority(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """SimHash of each run of ``n`` hashes from ``first``."""
     sim = np.zeros(len(n), np.uint64)
-    for byte in range(8):
-        part = (hashes >> np.uint64(8 * byte)).astype(np.uint8)
-        ones = np.add.reduceat(np.unpackbits(part[:, None], axis=1, bitorder="little"), first, axis=0, dtype=np.int32)
-        packed = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little")[:, 0]
-        sim |= packed.astype(np.uint64) << np.uint64(8 * byte)
+    order = np.argsort(-n, kind="stable")
+    long = int(np.searchsorted(-n[order], -SLICED, side="left"))
+    for i in order[:long].tolist():
+        bits = np.unpackbits(hashes[first[i] : first[i] + n[i]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sim[i] = np.packbits(bits.sum(axis=0) > n[i] // 2, bitorder="little").view("<u8")[0]
+    order = order[long:]
+    if not len(order):
+        return sim
+    # the k-th hashes of all runs at once are added to counters of 64 bits side by side, one plane for each binary digit
+    start, size = first[order], n[order]
+    planes = np.zeros((SLICED.bit_length(), len(order)), np.uint64)
+    for k in range(int(size[0])):
+        active = int(np.searchsorted(-size, -k, side="left"))
+        carry = hashes[start[:active] + k]
+        for plane in planes[: (k + 1).bit_length()]:
+            here = plane[:active]
+            carry, plane[:active] = here & carry, here ^ carry
+    count = np.zeros((len(order), 64), np.int16)
+    for j, plane in enumerate(planes):
+        count += np.unpackbits(plane.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16) << j
+    sim[order] = np.packbits(count > (size // 2)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return sim
 
 
@@ -147,6 +161,7 @@ class Signed(NamedTuple):
     """Signatures of lines: characters, words, SimHash over pairs of words and over runs of bytes, band keys."""
 
     size: np.ndarray
+    words: np.ndarray
     sim: np.ndarray
     short_sim: np.ndarray
     bands: pa.Array
@@ -158,15 +173,15 @@ def _classes(bytes_: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return [(few & (bytes_ < 40), 3), (few & (bytes_ >= 32) & (bytes_ < 125), 6), (few & (bytes_ >= 100), 12)]
 
 
-def signatures(data: np.ndarray, w: Words, some: np.ndarray) -> Signed:
-    """Signatures of the lines ``some`` (all with words)."""
-    first, n = w.first[some], w.first[some + 1] - w.first[some]
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    length = np.concatenate([[0], np.cumsum(w.end - w.start)])
-    count = np.concatenate([[0], np.cumsum(chars[w.end] - chars[w.start])])
-    size = count[first + n] - count[first] + n - 1
-    bytes_ = length[first + n] - length[first] + n - 1
-    sim, short = np.zeros(len(some), np.uint64), np.zeros(len(some), np.uint64)
+def signatures(lines: list[bytes]) -> Signed:
+    """Signatures of normalised lines, none of them empty."""
+    data = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
+    offs = np.cumsum([0, *(len(x) + 1 for x in lines)])
+    w = words(data, offs)
+    first, n = w.first[:-1], np.diff(w.first)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
+    bytes_, size = np.diff(offs) - 1, np.diff(chars) - 1
+    sim, short = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
     whose, keys = [], []
 
     def add(lines: np.ndarray, made: np.ndarray) -> None:
@@ -182,13 +197,8 @@ def signatures(data: np.ndarray, w: Words, some: np.ndarray) -> Signed:
         add(wordy, _keys(pairs, start, BANDS, 0))
     few = np.flatnonzero((n < FEW) | (bytes_ > LONG_WORD * n))
     if len(few):
-        at, _ = _ranges(first[few], n[few])
-        spread, begin = _ranges(w.start[at], w.end[at] - w.start[at] + 1)
-        flat = data[np.minimum(spread, len(data) - 1)]
-        # each word is followed by one space, the last one too
-        flat[np.append(begin[1:], len(flat)) - 1] = 32
-        extent = bytes_[few] + 1
-        place = np.cumsum(extent) - extent
+        at, place = _ranges(offs[few], bytes_[few] + 1)
+        flat = data[at]
         short[few] = _majority(*_runs(flat, place, bytes_[few], 3))
         for which, run in _classes(bytes_[few], n[few]):
             mine = np.flatnonzero(which)
@@ -197,8 +207,8 @@ def signatures(data: np.ndarray, w: Words, some: np.ndarray) -> Signed:
                 add(few[mine], _keys(hashes, start, SHORT_BANDS if run < 12 else BANDS, run))
     owner = np.concatenate(whose)
     values = np.concatenate(keys)[np.argsort(owner, kind="stable")]
-    ends = np.cumsum(np.bincount(owner, minlength=len(some)))
-    return Signed(size, sim, short, pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(as_long(values))))
+    ends = np.cumsum(np.bincount(owner, minlength=len(n)))
+    return Signed(size, n, sim, short, pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(as_long(values))))
 
 
 SIGNED = "doc_id long, key long, number int, line long, size int, words int, sim long, short_sim long, bands array<long>"
@@ -211,24 +221,20 @@ def _sign(min_words: int):
         seen: set[int] = set()
         for batch in batches:
             for rows, data, offs, row, number in _lines(batch):
-                found = _hashes(data, offs)
-                use = np.flatnonzero(found.n >= min_words)
-                if not len(use):
+                use, lines, hashes = _plain_lines(data, offs, min_words)
+                if not use:
                     continue
                 if len(seen) > 1 << 20:
                     seen.clear()
-                distinct, at = np.unique(found.hash[use], return_index=True)
-                new = [i for h, i in zip(distinct.tolist(), at.tolist(), strict=True) if h not in seen]
-                seen.update(distinct.tolist())
-                new = np.sort(np.array(new, np.int64))
+                new = [i for i, h in enumerate(hashes.tolist()) if not (h in seen or seen.add(h))]
                 filled = np.zeros(len(use), bool)
                 filled[new] = True
                 spread = pa.array(np.where(filled, np.cumsum(filled) - 1, 0), mask=~filled)
                 owner = pa.array(row[use])
-                columns = [rows.column("doc_id").take(owner), rows.column("key").take(owner), pa.array(number[use].astype(np.int32)), pa.array(as_long(found.hash[use]))]
-                if len(new):
-                    made = signatures(data, found.words, use[new])
-                    signed = [pa.array(made.size.astype(np.int32)), pa.array(found.n[use[new]].astype(np.int32)), pa.array(as_long(made.sim)), pa.array(as_long(made.short_sim)), made.bands]
+                columns = [rows.column("doc_id").take(owner), rows.column("key").take(owner), pa.array(number[use].astype(np.int32)), pa.array(as_long(hashes))]
+                if new:
+                    made = signatures([lines[i] for i in new])
+                    signed = [pa.array(made.size.astype(np.int32)), pa.array(made.words.astype(np.int32)), pa.array(as_long(made.sim)), pa.array(as_long(made.short_sim)), made.bands]
                     columns += [c.take(spread) for c in signed]
                 else:
                     columns += [pa.nulls(len(use), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
@@ -245,14 +251,12 @@ def _texts(min_words: int, bloom):
         seen: set[int] = set()
         for batch in batches:
             for _, data, offs, _, _ in _lines(batch):
-                found = _hashes(data, offs)
-                use = np.flatnonzero((found.n >= min_words) & bloom_has(table, found.hash))
+                _, lines, hashes = _plain_lines(data, offs, min_words)
                 if len(seen) > 1 << 20:
                     seen.clear()
-                new = [i for i, h in zip(use.tolist(), found.hash[use].tolist(), strict=True) if not (h in seen or seen.add(h))]
-                raw = data.tobytes()
-                texts = [b" ".join(raw[offs[i] : offs[i + 1]].split()).decode() for i in new]
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(found.hash[new])), pa.array(texts, pa.string())], ["line", "norm"])
+                some = np.flatnonzero(bloom_has(table, hashes)).tolist()
+                new = [i for i, h in zip(some, hashes[some].tolist(), strict=True) if not (h in seen or seen.add(h))]
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(hashes[new])), pa.array([lines[i].decode() for i in new], pa.string())], ["line", "norm"])
 
     return run
 
@@ -269,11 +273,16 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Edit distance by bit vectors (one step for each character of ``b``), after what both start and end with."""
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without what they start and end with alike."""
     i = _common(a, b)
     j = _common(a[i:][::-1], b[i:][::-1])
-    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    return a[i : len(a) - j], b[i : len(b) - j]
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Edit distance by bit vectors, one step for each character of ``b``."""
+    a, b = _trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
     where: dict[str, int] = {}
@@ -291,9 +300,9 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def _shared(a: str, b: str) -> int:
-    """Pairs of neighbouring characters in common, counted as often as both have them; each edit changes two at most."""
-    x, y = Counter(map(str.__add__, a, a[1:])), Counter(map(str.__add__, b, b[1:]))
+def _shared(a: str, b: str, run: int) -> int:
+    """Runs of characters in common, counted as often as both have them; each edit changes ``run`` of them at most."""
+    x, y = (Counter([t[i : i + run] for i in range(len(t) - run + 1)]) for t in (a, b))
     return sum(min(n, y[k]) for k, n in x.items() if k in y)
 
 
@@ -303,28 +312,35 @@ def _few_edits(a: str, b: str, most: int) -> bool:
     Never says yes of lines that are further apart."""
     x, y = a.split(" "), b.split(" ")
     i = j = cost = 0
-    while i < len(x) and j < len(y):
+    m, n = len(x), len(y)
+    while i < m and j < n:
         if x[i] == y[j]:
             i, j = i + 1, j + 1
             continue
-        after = [(p + q, p, q) for p in range(4) for q in range(4) if p + q and x[i + p : i + p + 2] == y[j + q : j + q + 2]]
-        _, p, q = min(after) if after else (0, 1, 1)
+        if x[i + 1 : i + 2] == y[j + 1 : j + 2]:
+            p = q = 1
+        else:
+            after = [(p + q, p, q) for p in range(4) for q in range(4) if p + q and x[i + p : i + p + 1] == y[j + q : j + q + 1]]
+            _, p, q = min(after) if after else (0, 1, 1)
         u, v = " ".join(x[i : i + p]), " ".join(y[j : j + q])
         # without words on one side, their spaces go too
-        cost += edit_distance(u, v) if p and q else len(u) + len(v) + 1
+        cost += max(len(u), len(v)) if p and q else len(u) + len(v) + 1
         if cost > most:
             return False
         i, j = i + p, j + q
     rest = " ".join(x[i:]) + " ".join(y[j:])
-    return cost + (len(rest) + 1 if i < len(x) or j < len(y) else 0) <= most
+    return cost + (len(rest) + 1 if i < m or j < n else 0) <= most
 
 
 def near(a: str, b: str, similarity: float) -> bool:
     """Whether 1 - edit distance / longer length >= ``similarity``."""
-    most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    longer = max(len(a), len(b))
+    most = int(longer * (1 - similarity) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    return _few_edits(a, b, most) or (_shared(a, b) >= max(len(a), len(b)) - 1 - 2 * most and edit_distance(a, b) <= most)
+    if _few_edits(a, b, most):
+        return True
+    return all(_shared(a, b, run) >= longer - run + 1 - run * most for run in (3, 2)) and edit_distance(a, b) <= most
 
 
 def _near(similarity: float):
@@ -343,7 +359,7 @@ def _features(line: str) -> set[str]:
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of two minima each over the features of a line that its pivot doesn't have."""
-    bands = 8
+    bands = 6
     for batch in batches:
         made = []
         for x, p in zip(batch.column("norm").to_pylist(), batch.column("np").to_pylist(), strict=True):
