@@ -8,7 +8,7 @@ Everything is a DataFrame expression; no Python runs on the executors.
    addresses in lower case, each part of a name by itself), gets a surrogate derived from the key.  Country codes,
    top-level domains, private networks, card brands, checksums that hold, lengths, letter case and separators stay.
 3. Collision check: two entities of a type must not share a surrogate, and no surrogate may be an entity that
-   occurs.  Of those that collide all but one are derived anew, until none is left.  So equal entities keep equal
+   occurs.  Of those that collide all but one are derived anew, and no others, until none is left.  So equal entities keep equal
    surrogates (coreference) and different ones stay different.
 4. Surrogates are put back in the format of each place.
 
@@ -231,19 +231,20 @@ def _render(kind: Column, raw: Column, surrogate: Column) -> Column:
 def surrogates(entities: DataFrame, secret: str, scratch: Scratch) -> DataFrame:
     """kind, canon, surrogate of every distinct (kind, canon): surrogates of a kind are distinct and aren't entities."""
     maker = _Maker(secret)
-    state = entities.select("kind", "canon").where("kind is not null").distinct().withColumn("attempt", F.lit(0))
+    every = scratch.save(entities.select("kind", "canon").where("kind is not null").distinct(), "all")
+    taken = every.select("kind", F.lower("canon").alias("low"))
+    pending, settled = every, None
     for i in range(ROUNDS):
-        made = state.withColumn("stream", maker.stream(F.col("kind"), F.col("canon"), F.col("attempt"))).withColumn("surrogate", maker.make())
-        made = scratch.save(made.select("kind", "canon", "attempt", "surrogate"), f"surrogates{i}")
-        owner = made.groupBy("kind", F.lower("surrogate").alias("low")).agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count("*").alias("n"))
-        taken = made.select("kind", F.lower("canon").alias("low"), F.lit(True).alias("taken")).distinct()
-        bad = owner.join(taken, ["kind", "low"], "left").where("n > 1 or taken")
-        bad = scratch.save(bad.select("kind", "low", F.when(F.col("taken"), F.lit(None)).otherwise(F.col("owner.canon")).alias("keeper")), f"collisions{i}")
-        if bad.isEmpty():
-            return made.select("kind", "canon", "surrogate")
-        again = made.withColumn("low", F.lower("surrogate")).join(bad.withColumn("hit", F.lit(True)), ["kind", "low"], "left")
-        lost = F.coalesce("hit", F.lit(False)) & ~F.coalesce(F.col("keeper") == F.col("canon"), F.lit(False))
-        state = again.select("kind", "canon", (F.col("attempt") + lost.cast("int")).alias("attempt"))
+        made = pending.withColumn("attempt", F.lit(i)).withColumn("stream", maker.stream(F.col("kind"), F.col("canon"), F.col("attempt"))).withColumn("surrogate", maker.make())
+        made = scratch.save(made.select("kind", "canon", "surrogate", F.lower("surrogate").alias("low")), f"made{i}")
+        free = made.groupBy("kind", "low").agg(F.min("canon").alias("canon"))
+        free = free.join(taken, ["kind", "low"], "left_anti") if settled is None else free.join(taken, ["kind", "low"], "left_anti").join(settled, ["kind", "low"], "left_anti")
+        # only those that lost are derived anew
+        won = scratch.save(made.join(free, ["kind", "low", "canon"], "left_semi"), f"won{i}")
+        settled = won if settled is None else settled.unionByName(won)
+        pending = scratch.save(made.join(won, ["kind", "canon"], "left_anti").select("kind", "canon"), f"pending{i}")
+        if pending.isEmpty():
+            return settled.select("kind", "canon", "surrogate")
     raise ValueError("more entities of a kind than surrogates")
 
 
