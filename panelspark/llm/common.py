@@ -33,6 +33,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not named:
+        if not sc.getCheckpointDir() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='panelspark-')}"
         spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     if not sc.getCheckpointDir():

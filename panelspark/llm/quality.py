@@ -196,7 +196,8 @@ def fit_quality(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     marks = marks.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = marks.count()
     if n > sample:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n)).limit(sample)
+        # the same rows however they are dealt
+        marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # a broadcast of at most ``sample`` rows
     some = texts_of(df, id_col, text_col).join(F.broadcast(marks), "doc_id")
     rows = some.mapInArrow(_featurise, "doc_id long, quality int, ids array<int>").toArrow().sort_by("doc_id")
