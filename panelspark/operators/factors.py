@@ -28,7 +28,8 @@ class FactorSpec:
     expected_direction: int = 1
 
 
-#: Names, categories, formulas and lookbacks of the registered factors, and the stage that makes them.
+#: Names, categories and lookbacks of the registered factors.  Formulas are in this engine's own function
+#: names (``functions/expr.py``); the last number is the stage that makes a factor.
 REGISTRY = (
     FactorSpec("reversal_1d", "price_reversal", "-change(close, 1)", 1, 1),
     FactorSpec("momentum_5d", "price_momentum", "change(close, 5)", 5, 1),

@@ -66,44 +66,60 @@ def drawdowns(daily: DataFrame, column: str = "spread_return") -> DataFrame:
     return out.withColumn("drawdown", div("equity", F.max("equity").over(run)) - 1)
 
 
+def _measures(column: str, prefix: str, horizon: int) -> dict[str, Column]:
+    """Aggregates of one daily return, whose drawdowns are in ``__dd_<column>``; nulls take no part."""
+    r = F.col(column)
+    return {
+        f"{prefix}periods": F.count(r),
+        f"{prefix}total_return": F.product(1 + r) - 1,
+        f"{prefix}annualized_return": F.avg(r) * (YEAR / horizon),
+        f"{prefix}annualized_volatility": F.coalesce(F.stddev_samp(r), F.lit(0.0)) * (YEAR / horizon) ** 0.5,
+        f"{prefix}hit_rate": F.avg((r > 0).cast("double")),
+        f"{prefix}downside_volatility": F.coalesce(F.stddev_samp(F.when(r < 0, r)), F.lit(0.0)) * (YEAR / horizon) ** 0.5,
+        f"{prefix}max_drawdown": F.min(f"__dd_{column}"),
+    }
+
+
+def _with_drawdowns(daily: DataFrame, *columns: str) -> DataFrame:
+    run = Window.partitionBy("factor").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    out = daily.withColumns({f"__eq_{c}": F.product(1 + F.col(c)).over(run) for c in columns})
+    return out.withColumns({f"__dd_{c}": div(f"__eq_{c}", F.max(f"__eq_{c}").over(run)) - 1 for c in columns})
+
+
 def return_metrics(daily: DataFrame, column: str = "spread_return", horizon: int = 1) -> DataFrame:
     """One row for each factor: total and annual return, volatility, information ratio, drawdown, hit rate, calmar."""
-    r = F.col(column)
-    low = drawdowns(daily, column).groupBy("factor").agg(F.min("drawdown").alias("max_drawdown"))
-    made = daily.where(r.isNotNull()).groupBy("factor").agg(
-        F.count("*").alias("periods"),
-        (F.product(1 + r) - 1).alias("total_return"),
-        (F.avg(r) * (YEAR / horizon)).alias("annualized_return"),
-        (F.coalesce(F.stddev_samp(r), F.lit(0.0)) * (YEAR / horizon) ** 0.5).alias("annualized_volatility"),
-        F.avg((r > 0).cast("double")).alias("hit_rate"),
-        (F.coalesce(F.stddev_samp(F.when(r < 0, r)), F.lit(0.0)) * (YEAR / horizon) ** 0.5).alias("downside_volatility"),
-    )
+    rows = _with_drawdowns(daily.where(F.col(column).isNotNull()), column)
+    made = rows.groupBy("factor").agg(*[e.alias(k) for k, e in _measures(column, "", horizon).items()])
     made = made.withColumn("information_ratio", ratio_or_zero(F.col("annualized_return"), F.col("annualized_volatility")))
-    made = made.join(low, "factor")
     return made.withColumn("calmar", F.coalesce(div("annualized_return", F.abs("max_drawdown")), F.lit(0.0)))
 
 
-def benchmark_metrics(daily: DataFrame, horizon: int = 1) -> DataFrame:
-    """Beta and correlation of the long leg with the benchmark, and metrics of its excess; zeros where undefined."""
-    rows = daily.where(F.col("long_return").isNotNull() & F.col("benchmark_return").isNotNull())
-    x, y = F.col("long_return"), F.col("benchmark_return")
-    made = rows.groupBy("factor").agg(
-        F.coalesce(div(F.covar_samp(x, y), F.var_samp(y)), F.lit(0.0)).alias("benchmark_beta"),
-        F.coalesce(div(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)), F.lit(0.0)).alias("benchmark_correlation"),
-    )
-    excess = return_metrics(rows.withColumn("excess", x - y), "excess", horizon)
-    excess = excess.select("factor", F.col("total_return").alias("excess_total_return"), F.col("information_ratio").alias("excess_information_ratio"), F.col("max_drawdown").alias("excess_max_drawdown"))
-    return made.join(excess, "factor")
-
-
 def metrics(daily: DataFrame, horizon: int = 1) -> DataFrame:
-    """All portfolio metrics of each factor."""
-    out = return_metrics(daily, "spread_return", horizon).join(benchmark_metrics(daily, horizon), "factor", "left")
-    for column, name in (("long_return", "long_total_return"), ("benchmark_return", "benchmark_total_return"), ("long_excess_return", "long_excess_total_return")):
-        total = daily.where(F.col(column).isNotNull()).groupBy("factor").agg((F.product(1 + F.col(column)) - 1).alias(name))
-        out = out.join(total, "factor", "left")
-    more = daily.groupBy("factor").agg(F.avg("turnover").alias("average_turnover"), F.avg("cost").alias("average_cost"))
-    return out.join(more, "factor")
+    """All portfolio metrics of each factor: one pass of windows over the daily returns and one aggregate.
+
+    Beta and correlation of the long leg with the benchmark, and the metrics of its excess, count dates that have both;
+    beta, correlation and calmar are zero where undefined.
+    """
+    x, y = F.col("long_return"), F.col("benchmark_return")
+    both = x.isNotNull() & y.isNotNull()
+    rows = _with_drawdowns(daily.withColumn("__excess", x - y), "spread_return", "__excess")
+    own, excess = _measures("spread_return", "", horizon), _measures("__excess", "__x_", horizon)
+    more = {
+        "__beta": div(F.covar_samp(x, y), F.var_samp(F.when(both, y))),
+        "__correlation": div(F.covar_samp(x, y), F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))),
+        **{name: F.product(1 + F.col(c)) - 1 for c, name in (("long_return", "long_total_return"), ("benchmark_return", "benchmark_total_return"), ("long_excess_return", "long_excess_total_return"))},
+        "average_turnover": F.avg("turnover"),
+        "average_cost": F.avg("cost"),
+    }
+    made = rows.groupBy("factor").agg(*[e.alias(k) for k, e in (own | excess | more).items()]).where("periods > 0")
+    zero, told = F.lit(0.0), F.col("__x_periods") > 0
+    made = made.withColumn("information_ratio", ratio_or_zero(F.col("annualized_return"), F.col("annualized_volatility")))
+    made = made.withColumn("calmar", F.coalesce(div("annualized_return", F.abs("max_drawdown")), zero))
+    made = made.withColumn("benchmark_beta", F.when(told, F.coalesce("__beta", zero))).withColumn("benchmark_correlation", F.when(told, F.coalesce("__correlation", zero)))
+    made = made.withColumn("excess_total_return", F.col("__x_total_return")).withColumn("excess_max_drawdown", F.col("__x_max_drawdown"))
+    made = made.withColumn("excess_information_ratio", F.when(told, ratio_or_zero(F.col("__x_annualized_return"), F.col("__x_annualized_volatility"))))
+    names = [*own, "information_ratio", "calmar", "benchmark_beta", "benchmark_correlation", "excess_total_return", "excess_information_ratio", "excess_max_drawdown", *[k for k in more if not k.startswith("__")]]
+    return made.select("factor", *names)
 
 
 def leaderboard(long: DataFrame, ic_long: DataFrame, quantiles: int = 5, cost_bps: float = 5.0) -> DataFrame:

@@ -20,6 +20,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c.name, digits) + F.lit(0.0)).alias(c.name) if isinstance(c.dataType, T.DoubleType) else F.col(c.name) for c in df.schema.fields])
 
 
+def compounded(df: DataFrame, *names: str) -> DataFrame:
+    """Columns that are products over many dates, on a signed logarithmic scale: digits are compared, not magnitudes."""
+    return df.withColumns({c: F.signum(c) * F.log1p(F.abs(c)) for c in names})
+
+
 def _bars(s: SparkSession, d: str) -> DataFrame:
     return A.bars_week(s, d)
 
@@ -80,7 +85,7 @@ def q_factor_ranks(s, d):
 
 
 def q_registry(s, d):
-    return factors.registry_frame(s).select("name", "category", "lookback")
+    return factors.registry_frame(s).select("name", "category", "formula", "lookback", "stage", "enabled", "expected_direction")
 
 
 def _label(transform: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -146,22 +151,20 @@ def q_benchmark(s, d):
     return rounded(portfolio.benchmark(_long(s, d, 1)))
 
 
-def q_backtest_returns(s, d):
-    return rounded(portfolio.returns(_long(s, d, 1)).drop("cumulative_long_return", "cumulative_spread_return", "cumulative_benchmark_return", "cumulative_long_excess_return"))
+CUMULATIVE = ("cumulative_long_return", "cumulative_spread_return", "cumulative_benchmark_return", "cumulative_long_excess_return")
+PRODUCTS = ("total_return", "max_drawdown", "calmar", "excess_total_return", "excess_max_drawdown", "long_total_return", "benchmark_total_return", "long_excess_total_return")
 
 
-def _daily(s, d):
-    """Daily returns at a ten-thousandth: prices of line items are noise, and compounding them whole leaves no digits to compare."""
-    daily = portfolio.returns(_long(s, d, 1))
-    return daily.withColumns({c: F.col(c) / 10_000 for c in ("long_return", "spread_return", "benchmark_return", "long_excess_return")})
+def q_backtest_returns(s, d):
+    return rounded(compounded(portfolio.returns(_long(s, d, 1)), *CUMULATIVE))
 
 
 def q_drawdown(s, d):
-    return rounded(portfolio.drawdowns(_daily(s, d), "long_excess_return"))
+    return rounded(compounded(portfolio.drawdowns(portfolio.returns(_long(s, d, 1)), "long_excess_return"), "equity", "drawdown"))
 
 
 def q_backtest_metrics(s, d):
-    return rounded(portfolio.metrics(_daily(s, d)), 5)
+    return rounded(compounded(portfolio.metrics(portfolio.returns(_long(s, d, 1))), *PRODUCTS), 5)
 
 
 def q_factor_profile(s, d):
@@ -202,8 +205,8 @@ def q_kline_top_tokens(s, d):
 
 
 def q_kline_sequences(s, d):
-    out = kline.add_sequence_factors(_bars(s, d), (20,))
-    return rounded(out.select("ticker", "date", *kline.sequence_columns((20,))))
+    out = kline.add_sequence_factors(_bars(s, d), (20, 60))
+    return rounded(out.select("ticker", "date", *kline.sequence_columns((20, 60))))
 
 
 def q_kline_event_share(s, d):
@@ -261,7 +264,8 @@ def q_l3_aggressor(s, d):
 
 
 def q_l3_minute(s, d):
-    return rounded(_minutes(s, d).drop("submit_mean_lifetime_ms"))
+    # a price with a 5 as its seventh digit is rounded alike by both engines
+    return rounded(_minutes(s, d).withColumn("trade_vwap_scaled", F.col("trade_vwap_scaled") * (1 + 1e-11)))
 
 
 def q_l3_minute_quality(s, d):
@@ -297,8 +301,8 @@ def q_l3_cluster_share(s, d):
 def q_l3_standardize(s, d):
     from ..operators import regimes
 
-    out = regimes.standardize(_minutes(s, d), ["submit_volume", "submit_fill_ratio", "trade_active_imbalance"], log=["submit_volume"])
-    return rounded(out.select("wind_code", "date", "minute", "z_submit_volume", "z_submit_fill_ratio", "z_trade_active_imbalance"), 5)
+    out = regimes.standardize(_minutes(s, d), list(regimes.FEATURES))
+    return rounded(out.select("wind_code", "date", "minute", *[f"z_{c}" for c in regimes.FEATURES]), 5)
 
 
 def q_l3_kmeans(s, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import factors, kline, latent, orderflow
+from ..operators import factors, kline, latent, orderflow, regimes
 
 _ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 BARS = f"""bars AS (
@@ -143,8 +143,11 @@ def _daily() -> str:
   legs AS (SELECT factor, date, SUM(CASE WHEN side = 'long' THEN weight * label ELSE 0 END) AS long_return, SUM(CASE WHEN side = 'short' THEN -weight * label ELSE 0 END) AS short_leg_return,
     COUNT(*) FILTER (side = 'long') AS top_count, COUNT(*) FILTER (side = 'short') AS bottom_count FROM held GROUP BY factor, date),
   daily AS (SELECT *, long_return - short_leg_return - cost AS spread_return, long_return - benchmark_return AS long_excess_return
-    FROM (SELECT *, turnover * 5.0 / 10000 AS cost FROM legs JOIN turn USING (factor, date) LEFT JOIN bench USING (date))),
-  scaled AS (SELECT * REPLACE (long_return / 10000 AS long_return, spread_return / 10000 AS spread_return, benchmark_return / 10000 AS benchmark_return, long_excess_return / 10000 AS long_excess_return) FROM daily)"""
+    FROM (SELECT *, turnover * 5.0 / 10000 AS cost FROM legs JOIN turn USING (factor, date) LEFT JOIN bench USING (date)))"""
+
+
+def _compounded(x: str, name: str, digits: int = 6) -> str:
+    return r(f"SIGN({x}) * LN(1 + ABS({x}))", name, digits)
 
 
 def _metrics(column: str) -> str:
@@ -154,7 +157,7 @@ def _metrics(column: str) -> str:
     COALESCE(STDDEV_SAMP(CASE WHEN x < 0 THEN x END), 0) * sqrt(252) AS downside_volatility,
     CASE WHEN COALESCE(STDDEV_SAMP(x), 0) = 0 THEN 0.0 ELSE AVG(x) * 252 / (STDDEV_SAMP(x) * sqrt(252)) END AS information_ratio, MIN(dd) AS max_drawdown,
     COALESCE(AVG(x) * 252 / NULLIF(ABS(MIN(dd)), 0), 0) AS calmar
-    FROM (SELECT factor, x, equity / MAX(equity) {run} - 1 AS dd FROM (SELECT factor, date, {column} AS x, product(1 + {column}) {run} AS equity FROM scaled WHERE {column} IS NOT NULL)) GROUP BY factor)"""
+    FROM (SELECT factor, x, equity / MAX(equity) {run} - 1 AS dd FROM (SELECT factor, date, {column} AS x, product(1 + {column}) {run} AS equity FROM daily WHERE {column} IS NOT NULL)) GROUP BY factor)"""
 
 
 _KLINE = f"""{BARS}, k0 AS (SELECT *, ROUND({change("close")}, 10) AS kr, ROUND((high - low) / NULLIF({lag("close")}, 0), 10) AS ks,
@@ -214,7 +217,7 @@ _SUBMIT = ["submit_volume", "submit_notional", "submit_filled_volume", "submit_c
 _TRADE = ["trade_volume", "trade_notional", "trade_missing_bs_flag_volume", "trade_inferred_aggressor_volume", "trade_unresolved_aggressor_volume", "trade_active_buy_volume", "trade_active_sell_volume"]
 _CANCEL = ["event_cancel_volume", "event_cancel_buy_volume", "event_cancel_sell_volume"]
 _COUNTS = ["submit_order_count", "submit_open_order_count", "submit_buy_order_count", "submit_sell_order_count", *(f"state_{s.lower()}_count" for s in orderflow.TERMINAL_STATES), "trade_count", "event_cancel_count", "quote_ticks"]
-_NULLED = ["submit_terminal_observed_rate", "submit_mean_lifetime_lower_bound_ms", "trade_bs_flag_observed_rate", "trade_vwap_scaled", "quote_last_price_scaled"]
+_NULLED = ["submit_terminal_observed_rate", "submit_mean_lifetime_ms", "submit_mean_lifetime_lower_bound_ms", "trade_bs_flag_observed_rate", "trade_vwap_scaled", "quote_last_price_scaled"]
 _ZEROED = [*_SUBMIT, "submit_mean_order_volume", *_TRADE, *_CANCEL, "quote_tick_volume", "quote_cum_volume"]
 _RATIOS = {
     "submit_buy_sell_imbalance": _balance("submit_buy_volume", "submit_sell_volume"),
@@ -227,7 +230,7 @@ _RATIOS = {
 }
 MINUTES = f"""{STREAMS}, ms AS (SELECT {_M}, COUNT(*) AS submit_order_count, SUM(submitted_volume) AS submit_volume, SUM(price_scaled * submitted_volume) AS submit_notional, SUM(filled_volume) AS submit_filled_volume, SUM(canceled_volume) AS submit_canceled_volume,
     SUM(remaining_volume) AS submit_remaining_volume, AVG(CAST(closed AS INTEGER)) AS submit_terminal_observed_rate, AVG(submitted_volume) AS submit_mean_order_volume, MAX(submitted_volume) AS submit_max_order_volume,
-    AVG(observed_lifetime_lower_bound_ms) AS submit_mean_lifetime_lower_bound_ms, COUNT(*) FILTER (terminal_state LIKE '%\\_OPEN' ESCAPE '\\') AS submit_open_order_count,
+    AVG(lifetime_ms) AS submit_mean_lifetime_ms, AVG(observed_lifetime_lower_bound_ms) AS submit_mean_lifetime_lower_bound_ms, COUNT(*) FILTER (terminal_state LIKE '%\\_OPEN' ESCAPE '\\') AS submit_open_order_count,
     COALESCE(SUM(submitted_volume) FILTER (side = 'B'), 0) AS submit_buy_volume, COALESCE(SUM(submitted_volume) FILTER (side = 'S'), 0) AS submit_sell_volume, COUNT(*) FILTER (side = 'B') AS submit_buy_order_count, COUNT(*) FILTER (side = 'S') AS submit_sell_order_count,
     SUM(submitted_volume * submitted_volume) / (SUM(submitted_volume) * SUM(submitted_volume)) AS submit_order_hhi, {_STATE_COUNTS} FROM life GROUP BY {_M}),
   mt AS (SELECT {_M}, COUNT(*) AS trade_count, SUM(volume) AS trade_volume, SUM(price / 10000.0 * volume) AS trade_notional, COALESCE(SUM(volume) FILTER (flag IS NULL), 0) AS trade_missing_bs_flag_volume,
@@ -284,6 +287,8 @@ def sql() -> dict[str, str]:
     pair = ("momentum_5d", "dollar_volume")
     ranked = ", ".join(f"{r(pct_rank(c), c + '_rank')}, {r(zscore(c), c + '_zscore')}" for c in pair)
     put("factor_ranks", f"{FACTORS}, g AS (SELECT ticker, date, ROUND(momentum_5d, 10) AS momentum_5d, dollar_volume FROM f)", f"SELECT ticker, date, {ranked} FROM g")
+    specs = ", ".join("('{}', '{}', '{}', {}, {}, {}, {})".format(x.name, x.category, x.formula, x.lookback, x.stage, x.enabled, x.expected_direction) for x in factors.REGISTRY if x.enabled)
+    out["q_registry"] = f"SELECT name, category, formula, CAST(lookback AS BIGINT) AS lookback, CAST(stage AS BIGINT) AS stage, enabled, CAST(expected_direction AS BIGINT) AS expected_direction FROM (VALUES {specs}) t(name, category, formula, lookback, stage, enabled, expected_direction)"
     labelled = f"{BARS}, x AS (SELECT *, {_future(5)} AS r FROM bars)"
     n = "COUNT(r) OVER (PARTITION BY date)"
     five = bucket("r", "5", "date")
@@ -307,15 +312,16 @@ def sql() -> dict[str, str]:
     put("weights", _held(), f"SELECT factor, date, ticker, side, {r('weight', 'weight')}, {r('label', 'label')} FROM held")
     put("turnover", _daily(), f"SELECT factor, date, {r('turnover', 'turnover')} FROM turn")
     put("benchmark", _daily(), f"SELECT date, {r('benchmark_return', 'benchmark_return')} FROM bench")
-    put("backtest_returns", _daily(), f"SELECT factor, date, {rs(['long_return', 'short_leg_return', 'turnover', 'benchmark_return', 'cost', 'spread_return', 'long_excess_return'])}, top_count, bottom_count FROM daily")
     run = "OVER (PARTITION BY factor ORDER BY date ROWS UNBOUNDED PRECEDING)"
-    put("drawdown", _daily(), f"SELECT factor, date, {r('equity', 'equity')}, {r(f'equity / MAX(equity) {run} - 1', 'drawdown')} FROM (SELECT factor, date, product(1 + long_excess_return) {run} AS equity FROM scaled WHERE long_excess_return IS NOT NULL)")
+    put("backtest_returns", _daily(), f"SELECT factor, date, {rs(['long_return', 'short_leg_return', 'turnover', 'benchmark_return', 'cost', 'spread_return', 'long_excess_return'])}, top_count, bottom_count, {', '.join(_compounded(f'product(1 + {c}) {run} - 1', 'cumulative_' + c) for c in ('long_return', 'spread_return', 'benchmark_return', 'long_excess_return'))} FROM daily")
+    put("drawdown", _daily(), f"SELECT factor, date, {_compounded('equity', 'equity')}, {_compounded(f'(equity / MAX(equity) {run} - 1)', 'drawdown')} FROM (SELECT factor, date, product(1 + long_excess_return) {run} AS equity FROM daily WHERE long_excess_return IS NOT NULL)")
+    catalog_products = {"total_return", "max_drawdown", "calmar", "excess_total_return", "excess_max_drawdown", "long_total_return", "benchmark_total_return", "long_excess_total_return"}
     main = ["total_return", "annualized_return", "annualized_volatility", "hit_rate", "downside_volatility", "information_ratio", "max_drawdown", "calmar"]
     metrics = f"""SELECT a.*, benchmark_beta, benchmark_correlation, x.total_return AS excess_total_return, x.information_ratio AS excess_information_ratio, x.max_drawdown AS excess_max_drawdown, long_total_return, benchmark_total_return, long_excess_total_return, average_turnover, average_cost
       FROM {_metrics('spread_return')} a JOIN {_metrics('long_excess_return')} x USING (factor) JOIN (SELECT factor, covar_samp(long_return, benchmark_return) / NULLIF(var_samp(benchmark_return), 0) AS benchmark_beta, covar_samp(long_return, benchmark_return) / NULLIF(stddev_samp(long_return) * stddev_samp(benchmark_return), 0) AS benchmark_correlation,
-      product(1 + long_return) - 1 AS long_total_return, product(1 + benchmark_return) - 1 AS benchmark_total_return, product(1 + long_excess_return) - 1 AS long_excess_total_return, AVG(turnover) AS average_turnover, AVG(cost) AS average_cost FROM scaled GROUP BY factor) USING (factor)"""
+      product(1 + long_return) - 1 AS long_total_return, product(1 + benchmark_return) - 1 AS benchmark_total_return, product(1 + long_excess_return) - 1 AS long_excess_total_return, AVG(turnover) AS average_turnover, AVG(cost) AS average_cost FROM daily GROUP BY factor) USING (factor)"""
     more = ["benchmark_beta", "benchmark_correlation", "excess_total_return", "excess_information_ratio", "excess_max_drawdown", "long_total_return", "benchmark_total_return", "long_excess_total_return", "average_turnover", "average_cost"]
-    put("backtest_metrics", _daily(), f"SELECT factor, periods, {rs([*main, *more], 5)} FROM ({metrics})")
+    put("backtest_metrics", _daily(), f"SELECT factor, periods, {', '.join(_compounded(c, c, 5) if c in catalog_products else r(c, c, 5) for c in [*main, *more])} FROM ({metrics})")
     profile = """SELECT factor, SUM(there) * 1.0 / SUM(n) AS coverage, COUNT(*) FILTER (u >= 5) AS active_days, CAST(median(u) AS DOUBLE) AS median_daily_unique, SUM(a) / SUM(there) AS mean_abs
       FROM (SELECT factor, date, COUNT(*) AS n, COUNT(value) AS there, COUNT(DISTINCT value) AS u, SUM(ABS(value)) AS a FROM long GROUP BY 1, 2) GROUP BY factor"""
     put("factor_profile", _long(), f"SELECT factor, {rs(['coverage', 'median_daily_unique', 'mean_abs'])}, active_days FROM ({profile})")
@@ -325,12 +331,21 @@ def sql() -> dict[str, str]:
     put("kline_top_tokens", _KLINE, "SELECT kline_token, COUNT(*) AS n FROM k WHERE kline_token NOT LIKE '%missing%' GROUP BY 1 ORDER BY n DESC, kline_token LIMIT 24")
     seq = f"""{_KLINE}, k1 AS (SELECT *, CASE WHEN kline_token NOT LIKE '%missing%' THEN kline_token END AS clean, ROW_NUMBER() OVER ({T}) AS rn,
       CASE WHEN kline_return_state IN ('up', 'strong_up') AND kline_volume_state IN ('high', 'extreme') THEN 1.0 ELSE 0.0 END AS bull,
-      CASE WHEN kline_return_state IN ('up', 'strong_up') AND {lag('kline_return_state')} IN ('down', 'strong_down') THEN 1 ELSE 0 END AS turn FROM k),
-      k2 AS (SELECT *, list_filter(list(clean) {w(20)}, lambda x: x IS NOT NULL) AS seen, list_filter(list(clean) OVER ({T} ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS hist, AVG(bull) {w(20)} AS bv, SUM(turn) {w(19)} / 19.0 AS rt FROM k1)"""
-    part = "(len(list_filter(seen, lambda y: y = x)) * 1.0 / len(seen))"
-    entropy = f"-list_sum(list_transform(list_distinct(seen), lambda x: {part} * ln({part}))) / ln(LEAST(len(seen), 240))"
-    similar = "len(list_filter(hist, lambda x: x = clean)) * 1.0 / NULLIF(len(hist), 0)"
-    put("kline_sequences", seq, f"SELECT ticker, date, {r(f'CASE WHEN rn >= 20 AND len(seen) >= 2 THEN {entropy} END', 'alpha_kline_state_entropy_20d')}, {r('CASE WHEN rn >= 20 THEN bv END', 'alpha_kline_bull_volume_ngram_20d')}, {r('CASE WHEN rn >= 20 THEN rt END', 'alpha_kline_reversal_transition_20d')}, {r(f'CASE WHEN rn >= 20 AND clean IS NOT NULL THEN {similar} END', 'alpha_kline_path_similarity_20d')} FROM k2")
+      CASE WHEN kline_return_state IN ('up', 'strong_up') AND {lag('kline_return_state')} IN ('down', 'strong_down') THEN 1 ELSE 0 END AS turn FROM k)"""
+    shown = []
+    for d in (20, 60):
+        seq += f""", k{d} AS (SELECT *, list_filter(list(clean) {w(d)}, lambda x: x IS NOT NULL) AS seen{d}, list_filter(list(clean) OVER ({T} ROWS BETWEEN {d - 1} PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS hist{d},
+      AVG(bull) {w(d)} AS bv{d}, SUM(turn) {w(d - 1)} / {d - 1}.0 AS rt{d} FROM k{1 if d == 20 else 20})"""
+        part = f"(len(list_filter(seen{d}, lambda y: y = x)) * 1.0 / len(seen{d}))"
+        entropy = f"-list_sum(list_transform(list_distinct(seen{d}), lambda x: {part} * ln({part}))) / ln(LEAST(len(seen{d}), 240))"
+        similar = f"len(list_filter(hist{d}, lambda x: x = clean)) * 1.0 / NULLIF(len(hist{d}), 0)"
+        shown += [
+            r(f"CASE WHEN rn >= {d} AND len(seen{d}) >= 2 THEN {entropy} END", f"alpha_kline_state_entropy_{d}d"),
+            r(f"CASE WHEN rn >= {d} THEN bv{d} END", f"alpha_kline_bull_volume_ngram_{d}d"),
+            r(f"CASE WHEN rn >= {d} THEN rt{d} END", f"alpha_kline_reversal_transition_{d}d"),
+            r(f"CASE WHEN rn >= {d} AND clean IS NOT NULL THEN {similar} END", f"alpha_kline_path_similarity_{d}d"),
+        ]
+    put("kline_sequences", seq, f"SELECT ticker, date, {', '.join(shown)} FROM k60")
     events = {
         "return_up_20": "CASE WHEN kline_return_state <> 'missing' THEN CAST(kline_return_state = 'up' AS INTEGER) END",
         "up_to_down_20": f"CASE WHEN kline_return_state <> 'missing' AND {lag('kline_return_state')} <> 'missing' THEN CAST({lag('kline_return_state')} = 'up' AND kline_return_state = 'down' AS INTEGER) END",
@@ -365,7 +380,7 @@ def sql() -> dict[str, str]:
       FULL JOIN (SELECT date, COUNT(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS common_stocks, COUNT(*) FILTER (b IS NULL) AS order_only_stocks, COUNT(*) FILTER (a IS NULL) AS trade_only_stocks FROM (SELECT DISTINCT wind_code, date, 1 AS a FROM o) FULL JOIN (SELECT DISTINCT wind_code, date, 1 AS b FROM t) USING (wind_code, date) GROUP BY 1) USING (date)
       LEFT JOIN (SELECT * FROM {_hits('date')}) USING (date)""")
     put("l3_aggressor", STREAMS, "SELECT aggressor_side_source, aggressor_side, COUNT(*) AS fills, SUM(volume) AS volume FROM fills GROUP BY 1, 2")
-    put("l3_minute", MINUTES, f"SELECT wind_code, date, CAST(minute AS INTEGER) AS minute, session, {', '.join(_COUNTS)}, {rs([*_ZEROED, *_NULLED, *_RATIOS])} FROM m")
+    put("l3_minute", MINUTES, f"SELECT wind_code, date, CAST(minute AS INTEGER) AS minute, session, {', '.join(_COUNTS)}, {rs([c for c in [*_ZEROED, *_NULLED, *_RATIOS] if c != 'trade_vwap_scaled'])}, {r('trade_vwap_scaled * (1 + 1e-11)', 'trade_vwap_scaled')} FROM m")
     diffs = ", ".join(f"{r(f'ABS({a} - {b})', k + '_diff_abs')}" for k, a, b in (("submit_volume", "ls", "m1"), ("submit_filled", "lf", "m2"), ("submit_canceled", "lc", "m3"), ("submit_remaining", "lr", "m4"), ("trade_volume", "tf", "m5"), ("cancel_event_volume", "tc", "m6")))
     bad = " + ".join(f"COUNT(*) FILTER ({c} < -1e-9 OR {c} > 1 + 1e-9)" for c in ("submit_fill_ratio", "submit_cancel_ratio", "submit_open_ratio"))
     off = " + ".join(f"COUNT(*) FILTER ({c} < -1 - 1e-9 OR {c} > 1 + 1e-9)" for c in ("submit_buy_sell_imbalance", "trade_active_imbalance", "cancel_buy_sell_imbalance"))
@@ -392,9 +407,10 @@ def sql() -> dict[str, str]:
     put("set_overlap", shards, "SELECT CASE WHEN a.ticker IS NULL THEN 'new_only' WHEN b.ticker IS NULL THEN 'old_only' ELSE 'common' END AS side, ticker FROM (SELECT DISTINCT ticker FROM old WHERE ticker < 15) a FULL JOIN (SELECT DISTINCT ticker FROM new WHERE ticker > 8) b USING (ticker)")
     put("training_frame", FACTORS, f"SELECT ticker, date, {rs(['momentum_5d', 'dollar_volume', 'future_return_5d'])} FROM (SELECT ticker, date, {lag('momentum_5d')} AS momentum_5d, {lag('dollar_volume')} AS dollar_volume, {_future(5)} AS future_return_5d FROM f) WHERE future_return_5d IS NOT NULL")
     put("walk_forward_splits", f"{BARS}, d AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)), s AS (SELECT UNNEST(range(0, (SELECT MAX(n) FROM d) - 125 + 1, 20)) AS a)", "SELECT CAST(a // 20 AS INTEGER) AS fold, (SELECT date FROM d WHERE i = a) AS train_start, (SELECT date FROM d WHERE i = a + 99) AS train_end, (SELECT date FROM d WHERE i = a + 105) AS test_start, (SELECT date FROM d WHERE i = a + 124) AS test_end FROM s WHERE a + 125 <= (SELECT MAX(n) FROM d)")
-    z_of = {"submit_volume": "ln(1 + GREATEST({}, 0))", "submit_fill_ratio": "{}", "trade_active_imbalance": "{}"}
+    z_of = {c: "ln(1 + GREATEST({}, 0))" if c in regimes.LOG_FEATURES else "{}" for c in regimes.FEATURES}
+    filled = ", ".join(f"COALESCE({c}, median({c}) OVER (), 0) AS {c}" for c in z_of)
     low = ", ".join(f"quantile_cont({c}, 0.01) AS a_{c}, quantile_cont({c}, 0.99) AS b_{c}" for c in z_of)
     values = ", ".join(f"{e.format(f'GREATEST(LEAST({c}, b_{c}), a_{c})')} AS v_{c}" for c, e in z_of.items())
     zs = ", ".join(r(f"(v_{c} - AVG(v_{c}) OVER ()) / COALESCE(NULLIF(STDDEV_POP(v_{c}) OVER (), 0), 1)", f"z_{c}", 5) for c in z_of)
-    put("l3_standardize", f"{MINUTES}, lim AS (SELECT {low} FROM m), v AS (SELECT wind_code, date, minute, {values} FROM m, lim)", f"SELECT wind_code, date, CAST(minute AS INTEGER) AS minute, {zs} FROM v")
+    put("l3_standardize", f"{MINUTES}, mf AS (SELECT wind_code, date, minute, {filled} FROM m), lim AS (SELECT {low} FROM mf), v AS (SELECT wind_code, date, minute, {values} FROM mf, lim)", f"SELECT wind_code, date, CAST(minute AS INTEGER) AS minute, {zs} FROM v")
     return out

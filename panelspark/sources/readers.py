@@ -28,9 +28,11 @@ class Config:
     start: str = ""
     end: str = ""
     raw_path: str = "data/raw/daily_bars.parquet"
-    factor_path: str = "data/processed/factors.parquet"
-    model_path: str = "models/model"
-    request_pause_seconds: float = 0.0
+    factors_path: str = "data/processed/factors.parquet"
+    model_path: str = "data/models/latest_model.joblib"
+    timespan: str = "day"
+    multiplier: int = 1
+    request_pause_seconds: float = 13.0
     extra: dict = field(default_factory=dict)
 
 
@@ -102,9 +104,8 @@ def write_json(path: str | Path, data: dict) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small report as one CSV file (or a folder of Parquet by suffix)."""
+    """A folder of CSV files with headers, or of Parquet, by suffix; Spark writes it, whatever its size."""
     if path.lower().endswith(".csv"):
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        df.toPandas().to_csv(path, index=False)
+        df.write.mode("overwrite").option("header", True).csv(path)
     else:
         df.write.mode("overwrite").parquet(path)
