@@ -44,10 +44,10 @@ from .textscan import as_long, mix, slices, string_buffers, words
 
 MIN_WORDS = 1
 SIMILARITY = 0.8
-BANDS = 12
+BANDS = 16
 ROWS = 3
 #: Bands of lines of few words, which one changed word changes most.
-SHORT_BANDS = 20
+SHORT_BANDS = 24
 #: Lines from WORDY words on meet by pairs of words, those of less than FEW by runs of bytes, those in between by both.
 WORDY = 14
 FEW = 18
