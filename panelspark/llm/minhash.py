@@ -41,6 +41,8 @@ HASHES = BANDS * ROWS
 #: Bits kept of each minimum; sixteen of them fill a long.
 BITS = 4
 MARGIN = 0.18
+#: First differences from a pivot that two members must have in common to be compared, if they need as many.
+AGREE = 3
 
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64))
@@ -156,7 +158,8 @@ def _residue(sets: DataFrame, percent: int, scratch: Scratch) -> Callable[[DataF
     With P the pivot's set, and r of its shingles missing in x and a added to it, x and y have at least the similarity
     only if their differences from P have T = w(x) + w(y) - (1 - 2f) * |P| in common, where f = percent / (100 + percent)
     and w = (1 - f) * r + f * a.  A member apart from the pivot has w > (1 - 2f) * |P|, so T is more than w of the other
-    one, and a common difference is among the first |D| - T + 1 of both in any order.
+    one.  In any order the first k of the common differences are then among the first |D| - T + k of both, for every k
+    up to T: pairs are proposed that have at least k = min(AGREE, T) there.  The order is by how often a group has them.
     """
     f = percent / (100 + percent)
 
@@ -166,18 +169,24 @@ def _residue(sets: DataFrame, percent: int, scratch: Scratch) -> Callable[[DataF
         added, missing = F.array_except("shingles", "xp"), F.array_except("xp", "shingles")
         both = both.select("pivot", "rep", "of_rep", "apart", F.size("xp").alias("np"), added.alias("added"), missing.alias("missing"))
         weight = (1 - f) * F.size("missing") + f * F.size("added") - (1 - 2 * f) * F.col("np")
-        sized = both.select("pivot", "rep", "of_rep", "apart", weight.alias("slack"), F.col("np"), F.sort_array(F.concat(_order(F.col("added"), 0), _order(F.col("missing"), 1))).alias("d"))
+        sized = both.select("pivot", "rep", "of_rep", "apart", weight.alias("slack"), F.col("np"), F.concat(_order(F.col("added"), 0), _order(F.col("missing"), 1)).alias("d"))
         sized = scratch.save(sized, "differences")
+        # the rarest of a group come first: what all but the pivot have is compared last
+        each = sized.select("pivot", "rep", F.explode("d").alias("t"))
+        often = each.groupBy("pivot", "t").agg(F.count("*").alias("often"))
+        ranked = each.join(often, ["pivot", "t"]).groupBy("pivot", "rep").agg(F.sort_array(F.collect_list(F.struct("often", "t.kind", "t.place", "t.token"))).alias("d"))
+        sized = scratch.save(sized.drop("d").join(ranked, ["pivot", "rep"]), "ranked")
         # the slack of a member apart is positive; the other one's w is its slack and what P allows
         room = F.col("slack") + (1 - 2 * f) * F.col("np")
-        index = sized.select("pivot", F.col("rep").alias("y"), F.col("of_rep").alias("cy"), F.col("apart").alias("ay"), F.col("slack").alias("sy"), F.size("d").alias("ny"), F.posexplode(F.slice("d", 1, F.greatest(F.size("d") - F.floor(room - 1e-9).cast("int"), F.lit(0)))).alias("py", "t"))
+        index = sized.select("pivot", F.col("rep").alias("y"), F.col("of_rep").alias("cy"), F.col("apart").alias("ay"), F.col("slack").alias("sy"), F.size("d").alias("ny"), F.posexplode(F.slice("d", 1, F.greatest(F.size("d") - F.floor(room - 1e-9).cast("int") + AGREE - 1, F.lit(0)))).alias("py", "t"))
         probe = sized.where("apart").select("pivot", F.col("rep").alias("x"), F.col("of_rep").alias("cx"), "np", F.col("slack").alias("sx"), F.size("d").alias("nx"), F.posexplode("d").alias("px", "t"))
         index = index.select("pivot", "y", "cy", "ay", "sy", "ny", "py", F.col("t.token").alias("token"), F.col("t.kind").alias("kind"))
         probe = probe.select("pivot", "x", "cx", "np", "sx", "nx", "px", F.col("t.token").alias("token"), F.col("t.kind").alias("kind"))
         least = F.ceil(F.col("sx") + F.col("sy") + (1 - 2 * f) * F.col("np") - 1e-6)
-        fits = (F.col("cx") != F.col("cy")) & (~F.col("ay") | (F.col("x") < F.col("y"))) & (F.col("px") + least <= F.col("nx")) & (F.col("py") + least <= F.col("ny"))
-        met = probe.join(index, ["pivot", "token", "kind"]).where(fits)
-        return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
+        agree = F.greatest(F.least(least, F.lit(AGREE)), F.lit(1))
+        fits = (F.col("cx") != F.col("cy")) & (~F.col("ay") | (F.col("x") < F.col("y"))) & (F.col("px") + least < F.col("nx") + agree) & (F.col("py") + least < F.col("ny") + agree)
+        met = probe.join(index, ["pivot", "token", "kind"]).where(fits).groupBy("pivot", F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"), F.min(agree).alias("k"))
+        return met.where("n >= k").select("a", "b")
 
     return pairs
 
