@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 from zlib import crc32
 
@@ -40,7 +41,7 @@ from xxhash import xxh3_64_intdigest
 from .common import Scratch, filter_of, in_filter, need, slot_of, texts_of
 from .linking import link_members
 from .substrings import bloom_has, bloom_of
-from .textscan import as_long, mix, slices, string_buffers, words
+from .textscan import as_long, mix, slices
 
 MIN_WORDS = 1
 SIMILARITY = 0.8
@@ -65,39 +66,64 @@ _SHIFTS = mix(np.arange(1001, SHORT_BANDS * ROWS + 1001, dtype=np.uint64)).astyp
 _BAND = mix(np.arange(5001, SHORT_BANDS + 5001, dtype=np.uint64))
 _FACTORS = mix(np.arange(7001, 7017, dtype=np.uint64)) | np.uint64(1)
 
+#: Odd multiplier of the hashes of words.
+_ODD = 0xD1342543DE82EF95
+
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[c for c in range(128) if not chr(c).isalnum() and c != 10]] = 32
 _PLAIN[48:58] = 48
 
 
 def _lines(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(rows, normalised bytes, line offsets, row of each line, number of each line in its row)."""
+    """(rows, normalised bytes, line offsets, row of each line, number of each line in its row); each line ends in a break."""
     for rows, _, _ in slices(batch, "text"):
-        lower = pa.array([t.lower() if t else "" for t in rows.column("text").to_pylist()], pa.large_string())
-        data, offs = string_buffers(lower)
-        data = _PLAIN[data]
-        breaks = np.flatnonzero(data == 10) + 1
+        texts = [t or "" for t in rows.column("text").to_pylist()]
+        data = _PLAIN[np.frombuffer(("\n".join([t.lower() for t in texts]) + "\n").encode(), np.uint8)]
         # an empty text has one empty line; so has a text that ends in a break
-        starts = np.sort(np.concatenate([offs[:-1], breaks]))
-        owner = np.searchsorted(breaks, offs[:-1], side="right")
-        per = np.searchsorted(breaks, offs[1:], side="right") - owner + 1
+        per = np.array([t.count("\n") + 1 for t in texts])
         row = np.repeat(np.arange(len(per)), per)
         number = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-        yield rows, data, np.append(starts, len(data)), row, number
+        yield rows, data, np.append(0, np.flatnonzero(data == 10) + 1), row, number
 
 
-def _plain_lines(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[list[int], list[bytes], np.ndarray]:
+def _plain_lines(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """(numbers, normalised bytes, hashes) of the lines with at least ``min_words`` words."""
-    raw = data.tobytes()
-    use, lines = [], []
-    for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-        w = raw[a:b].split()
-        if len(w) >= min_words and w:
-            use.append(i)
-            lines.append(b" ".join(w))
+    solid = data > 32
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]
+    # each word and one space
+    flat = np.maximum(data[keep], np.uint8(32))
+    first = _first_words(solid, offs)
+    bounds = np.append(0, np.flatnonzero(flat == 32) + 1)[first]
+    use = np.flatnonzero(np.diff(first) >= max(min_words, 1))
+    raw = flat.tobytes()
+    lines = [raw[a:b] for a, b in zip(bounds[use].tolist(), (bounds[use + 1] - 1).tolist(), strict=True)]
     return use, lines, np.array([xxh3_64_intdigest(x) for x in lines], np.uint64)
 
 
+def _first_words(solid: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Words before each offset."""
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    return np.searchsorted(np.flatnonzero(begins), offs)
+
+
+@lru_cache(maxsize=1)
+def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number modulo 2**64, and their inverses."""
+    with np.errstate(over="ignore"):
+        return tuple(np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+
+def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words that end in one space each, and the words before each offset."""
+    starts = np.append(0, np.flatnonzero(data == 32)[:-1] + 1)
+    powers, inverses = _factors(max(1 << 21, 1 << len(data).bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(data * powers[: len(data)], starts)
+        return mix(sums * inverses[starts]), np.searchsorted(starts, offs)
+
+
 def _majority(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """SimHash of each run of ``n`` hashes from ``first``."""
     sim = np.zeros(len(n), np.uint64)
@@ -177,9 +203,9 @@ def signatures(lines: list[bytes]) -> Signed:
     """Signatures of normalised lines, none of them empty."""
     data = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
     offs = np.cumsum([0, *(len(x) + 1 for x in lines)])
-    w = words(data, offs)
-    first, n = w.first[:-1], np.diff(w.first)
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
+    hashes, first = _word_hashes(data, offs)
+    first, n = first[:-1], np.diff(first)
+    chars = offs if data.max() < 128 else np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
     bytes_, size = np.diff(offs) - 1, np.diff(chars) - 1
     sim, short = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
     whose, keys = [], []
@@ -192,7 +218,7 @@ def signatures(lines: list[bytes]) -> Signed:
     if len(wordy):
         at, start = _ranges(first[wordy], n[wordy] - 1)
         with np.errstate(over="ignore"):
-            pairs = mix(w.hash[at] * _FACTORS[0] + w.hash[at + 1])
+            pairs = mix(hashes[at] * _FACTORS[0] + hashes[at + 1])
         sim[wordy] = _majority(pairs, start, n[wordy] - 1)
         add(wordy, _keys(pairs, start, BANDS, 0))
     few = np.flatnonzero((n < FEW) | (bytes_ > LONG_WORD * n))
@@ -203,8 +229,8 @@ def signatures(lines: list[bytes]) -> Signed:
         for which, run in _classes(bytes_[few], n[few]):
             mine = np.flatnonzero(which)
             if len(mine):
-                hashes, start, _ = _runs(flat, place[mine], bytes_[few][mine], run)
-                add(few[mine], _keys(hashes, start, SHORT_BANDS if run < 12 else BANDS, run))
+                runs, start, _ = _runs(flat, place[mine], bytes_[few][mine], run)
+                add(few[mine], _keys(runs, start, SHORT_BANDS if run < 12 else BANDS, run))
     owner = np.concatenate(whose)
     values = np.concatenate(keys)[np.argsort(owner, kind="stable")]
     ends = np.cumsum(np.bincount(owner, minlength=len(n)))
@@ -222,7 +248,7 @@ def _sign(min_words: int):
         for batch in batches:
             for rows, data, offs, row, number in _lines(batch):
                 use, lines, hashes = _plain_lines(data, offs, min_words)
-                if not use:
+                if not len(use):
                     continue
                 if len(seen) > 1 << 20:
                     seen.clear()
@@ -280,24 +306,30 @@ def _trimmed(a: str, b: str) -> tuple[str, str]:
     return a[i : len(a) - j], b[i : len(b) - j]
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Edit distance by bit vectors, one step for each character of ``b``."""
-    a, b = _trimmed(a, b)
-    if not a or not b:
-        return len(a) + len(b)
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance by bit vectors, one step for each character of the shorter; more than ``most`` may come out too small, but not as ``most`` or less."""
+    a, b = sorted(_trimmed(a, b), key=len, reverse=True)
+    if not b:
+        return len(a)
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
-    mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, distance = mask, 0, len(a)
-    for c in b:
+    mask = (1 << len(a)) - 1
+    plus, minus = mask, 0
+    further = len(a) - len(b)
+    for j, c in enumerate(b, 1):
         same = where.get(c, 0)
         across = ((same & plus) + plus ^ plus) | same
         up, down = minus | ~(across | plus), plus & across
-        distance += bool(up & top) - bool(down & top)
         up, down = up << 1 | 1, down << 1
         plus, minus = (down | ~((same | minus) | up)) & mask, up & (same | minus) & mask
-    return distance
+        if most is not None and not j & 31:
+            # distances don't fall along the diagonal that ends where both lines end
+            upper = (1 << j + further) - 1
+            least = j + (plus & upper).bit_count() - (minus & upper).bit_count()
+            if least > most:
+                return least
+    return len(b) + plus.bit_count() - minus.bit_count()
 
 
 def _shared(a: str, b: str, run: int) -> int:
@@ -340,7 +372,7 @@ def near(a: str, b: str, similarity: float) -> bool:
         return False
     if _few_edits(a, b, most):
         return True
-    return all(_shared(a, b, run) >= longer - run + 1 - run * most for run in (3, 2)) and edit_distance(a, b) <= most
+    return all(_shared(a, b, run) >= longer - run + 1 - run * most for run in (3, 2)) and edit_distance(a, b, most) <= most
 
 
 def _near(similarity: float):
@@ -439,7 +471,7 @@ def _apply(min_words: int):
             gone_of = batch.column("__gone").to_pylist()
             plain = pa.RecordBatch.from_arrays([batch.column("__text")], ["text"])
             for rows, data, offs, row, _ in _lines(plain):
-                some = np.bincount(row[_starts(data, offs) >= min_words], minlength=rows.num_rows)
+                some = np.bincount(row[np.diff(_first_words(data > 32, offs)) >= min_words], minlength=rows.num_rows)
                 count = np.bincount(row, minlength=rows.num_rows)
                 column = rows.column("text")
                 for i in range(rows.num_rows):
@@ -461,17 +493,6 @@ def _apply(min_words: int):
     return run
 
 
-def _starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Words of each line."""
-    solid = data > 32
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
-    inner = offs[1:-1]
-    inner = inner[inner < len(data)]
-    begins[inner] = solid[inner]
-    return np.diff(np.concatenate([[0], np.cumsum(begins)])[offs])
-
-
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with repeated and nearly repeated lines removed from ``text_col``, and n_lines, n_removed, n_left."""
     need(df, id_col, text_col)
