@@ -30,6 +30,8 @@ from .textscan import mix, slices, windows, words
 FEATURES = 1 << 18
 #: Labelled rows that the model is fitted to, at most.
 SAMPLE = 6_000
+#: Bytes of text whose features are made at once: each byte takes some 200 while they are.
+SLICE = 1 << 18
 
 _MASK = np.uint64(FEATURES - 1)
 _KIND = np.full(256, 3, np.uint8)
@@ -182,7 +184,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, beta: flo
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offs in slices(batch, "text"):
+        for rows, data, offs in slices(batch, "text", SLICE):
             found = [f.astype(np.int32) for f in features(data, offs)]
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
@@ -209,7 +211,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = model.value
         for batch in batches:
-            for rows, data, offs in slices(batch, "text"):
+            for rows, data, offs in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([use.score(f) for f in features(data, offs)], pa.float64())], ["doc_id", "score"])
 
     return run
@@ -230,7 +232,7 @@ def with_quality(df: DataFrame, model: QualityModel, column: str = "quality_scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(f) for _, data, offs in slices(batch, "__text") for f in features(data, offs)]
+            scores = [shared.value.score(f) for _, data, offs in slices(batch, "__text", SLICE) for f in features(data, offs)]
             names = batch.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*names, column])
 
