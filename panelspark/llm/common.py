@@ -73,9 +73,13 @@ class Scratch:
         """Saves ``df``, frees every other table of this scratch and lets Spark clean up the shuffles behind them."""
         out = self.save(df, name)
         self.drop(*(self.names - {name}))
-        self.spark._jvm.System.gc()
+        self.collect()
         return out
 
+    def collect(self) -> None:
+        """Lets Spark clean up the shuffles that nothing refers to."""
+        self.spark._jvm.System.gc()
+
 
 def need(df: DataFrame, *columns: str) -> None:
     """Raises ValueError for columns that are missing."""

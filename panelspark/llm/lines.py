@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 from zlib import crc32
 
@@ -58,6 +58,9 @@ LONG_WORD = 20
 MOST = 27
 MOST_SHORT = 29
 
+#: Passes over the band keys, to have only a part of them in a shuffle at once.
+PASSES = 2
+
 #: Runs of features up to which SimHashes are counted side by side.
 SLICED = 255
 
@@ -418,8 +421,14 @@ def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
     # several tasks may have signed the same line: it is in a bucket more than once, and bands have one line each then
     bucket = Window.partitionBy("band")
     rows = signed.where("bands is not null").select(F.col("line").alias("rep"), F.explode("bands").alias("band"))
-    met = rows.select("rep", F.min("rep").over(bucket).alias("first"), F.max("rep").over(bucket).alias("last"), F.count("*").over(bucket).alias("n")).where("first <> last")
-    members = scratch.save(met.groupBy("first", "rep").agg(F.max("n").alias("n")), "members")
+    met = []
+    for i in range(PASSES):
+        # a bucket is in one pass whole; the shuffle of a pass is freed before the next
+        some = rows.where(F.pmod("band", F.lit(PASSES)) == i).select("rep", F.min("rep").over(bucket).alias("first"), F.max("rep").over(bucket).alias("last"), F.count("*").over(bucket).alias("n")).where("first <> last")
+        met.append(scratch.save(some.groupBy("first", "rep").agg(F.max("n").alias("n")), f"met{i}"))
+        scratch.collect()
+    members = scratch.save(reduce(DataFrame.unionByName, met).groupBy("first", "rep").agg(F.max("n").alias("n")), "members")
+    scratch.drop(*(f"met{i}" for i in range(PASSES)))
     mine = scratch.save(members.select("rep").distinct(), "mine")
     features = signed.where("bands is not null").select(F.col("line").alias("rep"), F.struct("size", "words", "sim", "short_sim").alias("feature"))
     features = scratch.save(features.join(mine, "rep", "left_semi").dropDuplicates(["rep"]), "features")
