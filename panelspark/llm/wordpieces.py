@@ -6,15 +6,17 @@ library.  A worker keeps the ids of the runs it met, up to a bound, and starts a
 
 A run of Latin-1 letters followed by ASCII signs is two words for this tokenizer's pattern; its letters are stable under
 NFC and fold one to one, so both words go to the library's BPE model directly.  Every other run takes the library's
-whole path.
+whole path.  New runs are taken apart, folded and written in the model's letters all at once: most runs are met once.
 """
 
 from __future__ import annotations
 
+import gc
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Runs whose ids a worker keeps.
@@ -23,43 +25,76 @@ KEPT = 500_000
 LONGEST = 64
 
 
-_PLAIN = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
+#: Runs one to a line: letters and signs of plain ones, or else the whole run.
+_RUNS = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)|([^\n]*))$", re.MULTILINE)
 
 
 class WordPieces:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_special = re.compile("|".join(map(re.escape, special))).search if special else None
         self.model = self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.marks = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(256) if chr(i).isalpha() or 32 < i < 127}
         self.kept: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
 
-    def _word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            if len(self.words) >= KEPT:
-                self.words.clear()
-                self.words[""] = b""
-            ids = np.array([t.id for t in self.model.tokenize(word.translate(self.marks))], np.uint32).tobytes()
-            self.words[word] = ids
-        return ids
-
-    def _learn(self, runs: list[str]) -> dict[str, bytes]:
-        made, rest = {}, []
-        for run in runs:
-            plain = _PLAIN.fullmatch(run) if len(run) <= LONGEST else None
-            if plain and not any(t in run for t in self.special):
-                made[run] = self._word(plain[1].lower()) + self._word(plain[2])
-            else:
-                rest.append(run)
+    def _words(self, words: list[str]) -> None:
+        """Keeps the ids of words that aren't kept yet."""
+        new = [w for w in set(words) if w not in self.words]
+        if len(self.words) + len(new) > KEPT:
+            self.words.clear()
+            self.words[""] = b""
+            new = list(set(words) - {""})
+        if not new:
+            return
+        tokenize = self.model.tokenize
+        for word, marked in zip(new, "\n".join(new).translate(self.marks).split("\n"), strict=True):
+            self.words[word] = array("I", [t.id for t in tokenize(marked)]).tobytes()
+
+    def _learn(self, runs: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of new runs: of those to keep, and of longer ones."""
+        whole = "\n".join(runs)
+        found = _RUNS.findall(whole)
+        odd = [i for i, m in enumerate(found) if m[2]]
+        if max(map(len, runs)) > LONGEST:
+            odd += [i for i, r in enumerate(runs) if len(r) > LONGEST]
+        if self.has_special and self.has_special(whole):
+            odd += [i for i, r in enumerate(runs) if self.has_special(r)]
+        rest = [runs[i] for i in set(odd)]
+        for i in sorted(set(odd), reverse=True):
+            runs[i], found[i] = runs[-1], found[-1]
+            runs.pop()
+            found.pop()
+        words, signs = [m[0] for m in found], [m[1] for m in found]
+        words = "\n".join(words).lower().split("\n") if words else []
+        self._words(words + signs)
+        known = self.words
+        made = {r: known[w] + known[s] for r, w, s in zip(runs, words, signs, strict=True)}
         encoded = self.tokenizer.encode_batch(rest, add_special_tokens=False)
-        made.update((r, np.array(e.ids, np.uint32).tobytes()) for r, e in zip(rest, encoded, strict=True))
-        return made
+        long = {}
+        for r, e in zip(rest, encoded, strict=True):
+            (made if len(r) <= LONGEST else long)[r] = np.array(e.ids, np.uint32).tobytes()
+        return made, long
+
+    def forget(self) -> None:
+        """Frees what is kept between calls."""
+        self.kept, self.words = {"": b""}, {"": b""}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
+        # nothing here refers to itself, and there are many small objects to look through
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._ids(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.kept
         new = {r for runs in split for r in runs if r not in known}
@@ -67,10 +102,11 @@ class WordPieces:
             known.clear()
             known[""] = b""
             new = {r for runs in split for r in runs}
-        learnt = self._learn(list(new))
-        known.update((k, v) for k, v in learnt.items() if len(k) <= LONGEST)
-        if any(len(k) > LONGEST for k in new):
-            return [b"".join([known[r] if r in known else learnt[r] for r in runs]) for runs in split]
+            new.discard("")
+        made, long = self._learn(list(new)) if new else ({}, {})
+        known.update(made)
+        if long:
+            return [b"".join([known[r] if r in known else long[r] for r in runs]) for runs in split]
         return [b"".join(map(known.__getitem__, runs)) for runs in split]
 
 
