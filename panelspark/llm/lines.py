@@ -29,6 +29,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 from zlib import crc32
 
@@ -41,7 +43,7 @@ from xxhash import xxh3_64_intdigest
 from .common import Scratch, filter_of, in_filter, need, slot_of, texts_of
 from .linking import link_members
 from .substrings import bloom_has, bloom_of
-from .textscan import as_long, mix, slices
+from .textscan import as_long, mix, slices, string_buffers
 
 MIN_WORDS = 1
 SIMILARITY = 0.8
@@ -60,6 +62,15 @@ MOST_SHORT = 29
 
 #: Passes over the band keys, to have only a part of them in a shuffle at once.
 PASSES = 2
+#: Parts that band keys are dealt to by their first bits: a part is sorted at once.
+PART_BITS = 12
+#: Band keys that a task deals out at once, and rows of met lines that it gives back at once.
+DEALT = 1 << 20
+GIVEN = 1 << 16
+
+#: Buckets that runs of characters are counted in to screen pairs of lines, and pairs counted side by side.
+COUNTED = 1 << 12
+BESIDE = 128
 
 #: Runs of features up to which SimHashes are counted side by side.
 SLICED = 255
@@ -75,15 +86,18 @@ _ODD = 0xD1342543DE82EF95
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[c for c in range(128) if not chr(c).isalnum() and c != 10]] = 32
 _PLAIN[48:58] = 48
+_PLAIN[65:91] += 32
 
 
 def _lines(batch: pa.RecordBatch) -> Iterator[tuple]:
     """(rows, normalised bytes, line offsets, row of each line, number of each line in its row); each line ends in a break."""
-    for rows, _, _ in slices(batch, "text"):
-        texts = [t or "" for t in rows.column("text").to_pylist()]
-        data = _PLAIN[np.frombuffer(("\n".join([t.lower() for t in texts]) + "\n").encode(), np.uint8)]
+    for rows, raw, cuts in slices(batch, "text"):
+        raw, cuts = raw.tobytes(), cuts.tolist()
+        texts = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        # the table lowers ASCII letters
+        data = _PLAIN[np.frombuffer(b"\n".join([*(t if t.isascii() else t.decode().lower().encode() for t in texts), b""]), np.uint8)]
         # an empty text has one empty line; so has a text that ends in a break
-        per = np.array([t.count("\n") + 1 for t in texts])
+        per = np.array([t.count(b"\n") + 1 for t in texts])
         row = np.repeat(np.arange(len(per)), per)
         number = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
         yield rows, data, np.append(0, np.flatnonzero(data == 10) + 1), row, number
@@ -127,6 +141,12 @@ def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
         return mix(sums * inverses[starts]), np.searchsorted(starts, offs)
 
 
+def _sum3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of three digits in each bit: lower and upper digit."""
+    either = a ^ b
+    return either ^ c, (a & b) | (either & c)
+
+
 def _majority(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """SimHash of each run of ``n`` hashes from ``first``."""
     sim = np.zeros(len(n), np.uint64)
@@ -141,12 +161,33 @@ def _majority(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarra
     # the k-th hashes of all runs at once are added to counters of 64 bits side by side, one plane for each binary digit
     start, size = first[order], n[order]
     planes = np.zeros((SLICED.bit_length(), len(order)), np.uint64)
-    for k in range(int(size[0])):
-        active = int(np.searchsorted(-size, -k, side="left"))
-        carry = hashes[start[:active] + k]
-        for plane in planes[: (k + 1).bit_length()]:
-            here = plane[:active]
-            carry, plane[:active] = here & carry, here ^ carry
+
+    def add(carry: np.ndarray, digit: int, most: int) -> None:
+        for plane in planes[digit : most.bit_length()]:
+            here = plane[: len(carry)]
+            carry, plane[: len(carry)] = here & carry, here ^ carry
+
+    for k in range(0, int(size[0]) - 7, 8):
+        # eight at once make one carry
+        active = int(np.searchsorted(-size, -(k + 7), side="left"))
+        at = start[:active] + k
+        one, two, four = planes[:3, :active]
+        halves = []
+        for i in (0, 4):
+            one, x = _sum3(one, hashes[at + i], hashes[at + i + 1])
+            one, y = _sum3(one, hashes[at + i + 2], hashes[at + i + 3])
+            two, z = _sum3(two, x, y)
+            halves.append(z)
+        planes[0, :active], planes[1, :active] = one, two
+        planes[2, :active], carry = _sum3(four, *halves)
+        add(carry, 3, k + 8)
+    rest = np.argsort(-(size & 7), kind="stable")
+    left = (size & 7)[rest]
+    tails, planes = (start + (size & ~7))[rest], planes[:, rest]
+    for k in range(int(left[0])):
+        active = int(np.searchsorted(-left, -k, side="left"))
+        add(hashes[tails[:active] + k], 0, SLICED)
+    planes = planes[:, np.argsort(rest)]
     count = np.zeros((len(order), 64), np.int16)
     for j, plane in enumerate(planes):
         count += np.unpackbits(plane.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16) << j
@@ -202,6 +243,13 @@ def _classes(bytes_: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return [(few & (bytes_ < 40), 3), (few & (bytes_ >= 32) & (bytes_ < 125), 6), (few & (bytes_ >= 100), 12)]
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the runs of 64-bit ``values`` (or rows of them) that ``ends`` bounds, a binary value each."""
+    values = np.ascontiguousarray(values)
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(values)])
+
+
 def signatures(lines: list[bytes]) -> Signed:
     """Signatures of normalised lines, none of them empty."""
     data = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
@@ -236,11 +284,11 @@ def signatures(lines: list[bytes]) -> Signed:
                 add(few[mine], _keys(runs, start, SHORT_BANDS if run < 12 else BANDS, run))
     owner = np.concatenate(whose)
     values = np.concatenate(keys)[np.argsort(owner, kind="stable")]
-    ends = np.cumsum(np.bincount(owner, minlength=len(n)))
-    return Signed(size, n, sim, short, pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(as_long(values))))
+    ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(n))))
+    return Signed(size, n, sim, short, _packed(as_long(values), ends))
 
 
-SIGNED = "doc_id long, key long, number int, line long, size int, words int, sim long, short_sim long, bands array<long>"
+SIGNED = "doc_id long, key long, number int, line long, size int, words int, sim long, short_sim long, bands binary"
 
 
 def _sign(min_words: int):
@@ -266,12 +314,77 @@ def _sign(min_words: int):
                     signed = [pa.array(made.size.astype(np.int32)), pa.array(made.words.astype(np.int32)), pa.array(as_long(made.sim)), pa.array(as_long(made.short_sim)), made.bands]
                     columns += [c.take(spread) for c in signed]
                 else:
-                    columns += [pa.nulls(len(use), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+                    columns += [pa.nulls(len(use), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "number", "line", "size", "words", "sim", "short_sim", "bands"])
+    return run
+
+
+def _deal(turn: int):
+    """(part, block): the band keys of this turn with their lines, packed by the first bits of the keys."""
+
+    def packed(lines: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.stack([np.concatenate(keys), np.concatenate(lines)], axis=1)
+        part = (pairs[:, 0].view(np.uint64) >> np.uint64(64 - PART_BITS)).astype(np.uint16)
+        count = np.bincount(part, minlength=1 << PART_BITS)
+        there = np.flatnonzero(count)
+        blocks = _packed(pairs[np.argsort(part, kind="stable")], np.append(0, np.cumsum(count[there])))
+        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), blocks], ["part", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, keys, held = [], [], 0
+        for batch in batches:
+            data, offs = string_buffers(batch.column("bands"))
+            key = data.view(np.int64)
+            line = np.repeat(batch.column("line").to_numpy(), np.diff(offs) >> 3)
+            mine = np.flatnonzero((key.view(np.uint64) >> np.uint64(64 - PART_BITS)) % np.uint64(PASSES) == turn)
+            lines.append(line[mine])
+            keys.append(key[mine])
+            held += len(mine)
+            if held >= DEALT:
+                yield packed(lines, keys)
+                lines, keys, held = [], [], 0
+        if held:
+            yield packed(lines, keys)
 
     return run
 
 
+def _meeting(pairs: np.ndarray) -> np.ndarray:
+    """(first, rep, n) of the buckets of (key, line) rows that hold several lines: smallest line, each line, rows of the largest such bucket."""
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    same = pairs[1:, 0] == pairs[:-1, 0]
+    pairs = pairs[np.append(same, False) | np.append(False, same)]
+    if not len(pairs):
+        return np.empty((0, 3), np.int64)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    begins = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0]))
+    n = np.diff(np.append(begins, len(pairs)))
+    first, last = pairs[begins, 1], pairs[begins + n - 1, 1]
+    rows = np.stack([np.repeat(first, n), pairs[:, 1], np.repeat(n, n)], axis=1)[np.repeat(first != last, n)]
+    # of the same line in several buckets of a first the largest counts
+    rows = rows[np.lexsort((-rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))] if len(rows) else rows
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, rep, n) of blocks that come in the order of their parts."""
+
+    def given(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(rows).T.copy()], ["first", "rep", "n"])
+
+    blocks = ((part, block) for batch in batches for part, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), strict=True))
+    out, held = [], 0
+    for _, some in groupby(blocks, key=itemgetter(0)):
+        rows = _meeting(np.frombuffer(b"".join([block for _, block in some]), np.int64).reshape(-1, 2))
+        out.append(rows)
+        held += len(rows)
+        if held >= GIVEN:
+            yield given(out)
+            out, held = [], 0
+    if held:
+        yield given(out)
+
+
 def _texts(min_words: int, bloom):
     """Normalised texts of the lines that may be in the filter, once for each task."""
 
@@ -378,10 +491,50 @@ def near(a: str, b: str, similarity: float) -> bool:
     return all(_shared(a, b, run) >= longer - run + 1 - run * most for run in (3, 2)) and edit_distance(a, b, most) <= most
 
 
+def _shared_all(pairs: list[tuple[str, str]], run: int) -> np.ndarray:
+    """What _shared says of each pair, or more where different runs fall into one bucket."""
+    out = np.empty(len(pairs), np.int64)
+    for i in range(0, len(pairs), BESIDE):
+        some = [t for pair in pairs[i : i + BESIDE] for t in pair]
+        size = np.array([len(t) for t in some])
+        codes = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
+        at, start = _ranges(np.cumsum(size) - size, np.maximum(size - run + 1, 0))
+        mixed = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(run):
+                mixed += codes[at + k] * _FACTORS[k]
+        owner = np.repeat(np.arange(len(some)), np.maximum(size - run + 1, 0))
+        slot = (mixed >> np.uint64(40)).astype(np.int64) & (COUNTED - 1)
+        count = np.bincount(owner * COUNTED + slot, minlength=len(some) * COUNTED).reshape(-1, 2, COUNTED)
+        out[i : i + BESIDE] = np.minimum(count[:, 0], count[:, 1]).sum(axis=1)
+    return out
+
+
+def near_all(pairs: list[tuple[str, str]], similarity: float) -> list[bool]:
+    """What near() says of each pair; lines that aren't long are screened side by side."""
+    keep = [False] * len(pairs)
+    open_ = []
+    for i, (a, b) in enumerate(pairs):
+        longer = max(len(a), len(b))
+        most = int(longer * (1 - similarity) + 1e-9)
+        if longer > COUNTED:
+            keep[i] = near(a, b, similarity)
+        elif abs(len(a) - len(b)) <= most:
+            keep[i] = _few_edits(a, b, most)
+            if not keep[i]:
+                open_.append((i, longer, most))
+    for run in (3, 2):
+        shared = _shared_all([pairs[i] for i, _, _ in open_], run).tolist()
+        open_ = [x for x, n in zip(open_, shared, strict=True) if n >= x[1] - run + 1 - run * x[2]]
+    for i, _, most in open_:
+        keep[i] = edit_distance(*pairs[i], most) <= most
+    return keep
+
+
 def _near(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [near(x, y, similarity) for x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)]
+            keep = near_all(list(zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)), similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -395,19 +548,29 @@ def _features(line: str) -> set[str]:
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of two minima each over the features of a line that its pivot doesn't have."""
     bands = 6
+    last, pivot = None, set()
     for batch in batches:
-        made = []
+        hashes, n = [], []
         for x, p in zip(batch.column("norm").to_pylist(), batch.column("np").to_pylist(), strict=True):
-            own = _features(x) - _features(p)
-            if not own:
-                made.append([])
-                continue
-            h = np.array([crc32(f.encode()) for f in own], np.uint32)
+            if p != last:
+                # the rows of a pivot mostly come one after the other
+                last, pivot = p, _features(p)
+            own = _features(x) - pivot
+            hashes += [crc32(f.encode()) for f in own]
+            n.append(len(own))
+        n = np.array(n, np.int64)
+        some = np.flatnonzero(n)
+        ends = np.append(0, np.cumsum(np.where(n > 0, bands, 0)))
+        keys = np.empty((len(some), bands), np.uint64)
+        if len(some):
+            h, start = np.array(hashes, np.uint32), (np.cumsum(n) - n)[some]
             with np.errstate(over="ignore"):
-                least = ((h ^ _SHIFTS[: 2 * bands, None]) * _SEEDS[: 2 * bands, None]).min(axis=1).reshape(bands, 2).astype(np.uint64)
-                made.append(as_long(mix(mix(_BAND[:bands] + least[:, 0]) + least[:, 1])).tolist())
+                for k in range(bands):
+                    one, two = (np.minimum.reduceat((h ^ _SHIFTS[r]) * _SEEDS[r], start).astype(np.uint64) for r in (2 * k, 2 * k + 1))
+                    keys[:, k] = mix(mix(_BAND[k] + one) + two)
+        made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(as_long(keys.ravel())))
         kept = [c for c in batch.schema.names if c not in {"norm", "np"}]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.list_(pa.int64()))], [*kept, "keys"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], [*kept, "keys"])
 
 
 def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -419,13 +582,12 @@ def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
     repeated = lines.where("first <> last")
 
     # several tasks may have signed the same line: it is in a bucket more than once, and bands have one line each then
-    bucket = Window.partitionBy("band")
-    rows = signed.where("bands is not null").select(F.col("line").alias("rep"), F.explode("bands").alias("band"))
+    rows = signed.where("bands is not null").select("line", "bands")
     met = []
     for i in range(PASSES):
-        # a bucket is in one pass whole; the shuffle of a pass is freed before the next
-        some = rows.where(F.pmod("band", F.lit(PASSES)) == i).select("rep", F.min("rep").over(bucket).alias("first"), F.max("rep").over(bucket).alias("last"), F.count("*").over(bucket).alias("n")).where("first <> last")
-        met.append(scratch.save(some.groupBy("first", "rep").agg(F.max("n").alias("n")), f"met{i}"))
+        # a bucket is in one part, and so in one pass, whole; the shuffle of a pass is freed before the next
+        dealt = rows.mapInArrow(_deal(i), "part int, block binary").repartition("part").sortWithinPartitions("part")
+        met.append(scratch.save(dealt.mapInArrow(_meet, "first long, rep long, n long"), f"met{i}"))
         scratch.collect()
     members = scratch.save(reduce(DataFrame.unionByName, met).groupBy("first", "rep").agg(F.max("n").alias("n")), "members")
     scratch.drop(*(f"met{i}" for i in range(PASSES)))
@@ -470,31 +632,44 @@ def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
     return scratch.finish(lost.groupBy("doc_id", "key").agg(F.collect_set("number").alias("gone")), "lost")
 
 
+def _counts(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of each text, and how many of them have ``min_words`` words; lower case changes neither."""
+    plain = _PLAIN[data]
+    breaks = np.flatnonzero(plain == 10)
+    solid = plain > 32
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    first = offs[:-1][offs[1:] > offs[:-1]]
+    begins[first] = solid[first]
+    per = np.diff(np.searchsorted(breaks, offs)) + 1
+    # each text's lines end where its breaks are and where it ends
+    row = np.repeat(np.arange(len(per)), per)
+    bounds = np.sort(np.concatenate([breaks, offs[1:]]), kind="stable")
+    words = np.diff(np.append(0, np.searchsorted(np.flatnonzero(begins), bounds)))
+    return per, np.bincount(row[words >= min_words], minlength=len(per))
+
+
 def _apply(min_words: int):
     """Takes the lines ``__gone`` out of ``__text`` and counts lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every, removed, left, texts = [], [], [], []
-            done = 0
-            gone_of = batch.column("__gone").to_pylist()
-            plain = pa.RecordBatch.from_arrays([batch.column("__text")], ["text"])
-            for rows, data, offs, row, _ in _lines(plain):
-                some = np.bincount(row[np.diff(_first_words(data > 32, offs)) >= min_words], minlength=rows.num_rows)
-                count = np.bincount(row, minlength=rows.num_rows)
-                column = rows.column("text")
-                for i in range(rows.num_rows):
-                    gone, there = gone_of[done + i], column[i].is_valid
-                    every.append(int(count[i]) if there else 0)
-                    removed.append(len(gone) if gone and there else 0)
-                    left.append(int(some[i]) - removed[-1] if there else 0)
-                    if gone and there:
+            plain = batch.column("__text")
+            there = plain.is_valid().to_numpy(zero_copy_only=False)
+            parts = [_counts(data, offs, min_words) for _, data, offs in slices(batch, "__text")]
+            every, some = (np.where(there, np.concatenate([np.empty(0, np.int64), *x]), 0) for x in (zip(*parts, strict=True) if parts else ([], [])))
+            removed = np.zeros(len(there), np.int64)
+            text = plain
+            gone_of = batch.column("__gone")
+            if gone_of.null_count < len(gone_of):
+                texts = plain.to_pylist()
+                for i, gone in enumerate(gone_of.to_pylist()):
+                    if gone and there[i]:
+                        removed[i] = len(gone)
                         gone = set(gone)
-                        texts.append("\n".join([x for k, x in enumerate(column[i].as_py().split("\n")) if k not in gone]))
-                    elif any(gone_of):
-                        texts.append(column[i].as_py())
-                done += rows.num_rows
-            text = pa.array(texts, pa.string()) if any(gone_of) else batch.column("__text")
+                        texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in gone])
+                text = pa.array(texts, pa.string())
+            left = some - removed
             made = {"__text": text, "n_lines": pa.array(every, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_left": pa.array(left, pa.int64())}
             names = [c for c in batch.schema.names if c not in {"__text", "__gone"}]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made.values()], [*names, *made])
