@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +29,20 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which what it has freed goes back to the system: a worker waits for its next task beside those that work."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -136,7 +151,7 @@ def routed(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataF
 
         return run
 
-    return slotted.mapInArrow(part(True), df.schema), slotted.mapInArrow(part(False), df.schema)
+    return slotted.mapInArrow(lean(part(True)), df.schema), slotted.mapInArrow(lean(part(False)), df.schema)
 
 
 def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

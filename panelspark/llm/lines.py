@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, filter_of, in_filter, need, slot_of, texts_of
+from .common import Scratch, filter_of, in_filter, lean, need, slot_of, texts_of
 from .linking import link_members
 from .substrings import bloom_has, bloom_of
 from .textscan import as_long, mix, slices, string_buffers
@@ -316,6 +316,8 @@ def _sign(min_words: int):
                 else:
                     columns += [pa.nulls(len(use), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "number", "line", "size", "words", "sim", "short_sim", "bands"])
+        _factors.cache_clear()
+
     return run
 
 
@@ -577,7 +579,7 @@ def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
     """doc_id, key, gone (numbers of lines to remove) of (doc_id, key, text) rows that lose lines."""
     sc = docs.sparkSession.sparkContext
     usable = docs.where("doc_id is not null and text is not null")
-    signed = scratch.save(usable.mapInArrow(_sign(min_words), SIGNED), "signed")
+    signed = scratch.save(usable.mapInArrow(lean(_sign(min_words)), SIGNED), "signed")
     lines = signed.groupBy("line").agg(F.min(F.struct("doc_id", "key", "number")).alias("first"), F.max(F.struct("doc_id", "key", "number")).alias("last"))
     repeated = lines.where("first <> last")
 
@@ -586,8 +588,8 @@ def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
     met = []
     for i in range(PASSES):
         # a bucket is in one part, and so in one pass, whole; the shuffle of a pass is freed before the next
-        dealt = rows.mapInArrow(_deal(i), "part int, block binary").repartition("part").sortWithinPartitions("part")
-        met.append(scratch.save(dealt.mapInArrow(_meet, "first long, rep long, n long"), f"met{i}"))
+        dealt = rows.mapInArrow(lean(_deal(i)), "part int, block binary").repartition("part").sortWithinPartitions("part")
+        met.append(scratch.save(dealt.mapInArrow(lean(_meet), "first long, rep long, n long"), f"met{i}"))
         scratch.collect()
     members = scratch.save(reduce(DataFrame.unionByName, met).groupBy("first", "rep").agg(F.max("n").alias("n")), "members")
     scratch.drop(*(f"met{i}" for i in range(PASSES)))
@@ -595,7 +597,7 @@ def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
     features = signed.where("bands is not null").select(F.col("line").alias("rep"), F.struct("size", "words", "sim", "short_sim").alias("feature"))
     features = scratch.save(features.join(mine, "rep", "left_semi").dropDuplicates(["rep"]), "features")
     bloom = sc.broadcast(bloom_of(mine, max(1 << 16, mine.count())))
-    norms = usable.select("doc_id", "text").mapInArrow(_texts(min_words, bloom), "line long, norm string").dropDuplicates(["line"])
+    norms = usable.select("doc_id", "text").mapInArrow(lean(_texts(min_words, bloom)), "line long, norm string").dropDuplicates(["line"])
     norms = scratch.save(norms, "norms")
 
     def close(a: Column, b: Column) -> Column:
@@ -607,13 +609,13 @@ def line_groups(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = norms.select(F.col("line").alias("a"), F.col("norm").alias("na"))
         b = norms.select(F.col("line").alias("b"), F.col("norm").alias("nb"))
-        return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb").mapInArrow(_near(similarity), "a long, b long")
+        return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb").mapInArrow(lean(_near(similarity)), "a long, b long")
 
     def residue(groups: DataFrame) -> DataFrame:
         own = norms.select(F.col("line").alias("rep"), "norm")
         pivots = norms.select(F.col("line").alias("pivot"), F.col("norm").alias("np"))
         both = groups.join(own, "rep").join(pivots, "pivot").select("pivot", "rep", "of_rep", "apart", "norm", "np")
-        keyed = scratch.save(both.mapInArrow(_apart, "pivot long, rep long, of_rep long, apart boolean, keys array<long>"), "apart")
+        keyed = scratch.save(both.mapInArrow(lean(_apart), "pivot long, rep long, of_rep long, apart boolean, keys array<long>"), "apart")
         keyed = keyed.select("pivot", "rep", "of_rep", "apart", F.explode("keys").alias("band"))
         # stars again: among the members that share a key with one that is apart
         bucket = Window.partitionBy("pivot", "band")
@@ -707,8 +709,8 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, similarity: float = S
         kept = [f for f in some.schema.fields if f.name not in {"__id", "__key", "__slot", "__text", "__gone"}]
         return type(some.schema)(kept).add("__text", "string").add("n_lines", "long").add("n_removed", "long").add("n_left", "long")
 
-    rest = carried.mapInArrow(part(False), schema_of(carried))
+    rest = carried.mapInArrow(lean(part(False)), schema_of(carried))
     lost = lost.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    hit = carried.mapInArrow(part(True), carried.schema).withColumn("__key", F.xxhash64("__text")).join(lost, ["__id", "__key"], "left")
-    hit = hit.drop("__id", "__key", "__slot").mapInArrow(_apply(min_words), schema_of(carried))
+    hit = carried.mapInArrow(lean(part(True)), carried.schema).withColumn("__key", F.xxhash64("__text")).join(lost, ["__id", "__key"], "left")
+    hit = hit.drop("__id", "__key", "__slot").mapInArrow(lean(_apply(min_words)), schema_of(carried))
     return rest.unionByName(hit).select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *counts)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filter_of, slot_of, texts_of
+from .common import Scratch, filter_of, lean, slot_of, texts_of
 from .linking import grown, link_members, members_of
 from .textscan import as_long, doc_windows, mix, slices, words
 
@@ -198,7 +198,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     docs = texts_of(df, id_col, text_col)
     least = percent / 100 - MARGIN
 
-    made = docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, d1 long, d2 long, signature array<long>, bands array<long>")
+    made = docs.mapInArrow(lean(_sketches(size)), "doc_id long, n_shingles long, d1 long, d2 long, signature array<long>, bands array<long>")
     made = scratch.save(made, "sketches")
     filled = made.where("n_shingles > 0 and doc_id is not null")
     # documents with several texts belong to several classes, so they can't stand for one
@@ -217,7 +217,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
 
     mine = members.select("rep").distinct()
     bits = filter_of(mine.join(reps.where("rep <> carrier").select("rep", "carrier"), "rep", "left").select(F.coalesce("carrier", "rep").alias("doc_id"))) if some_several else filter_of(mine)
-    sets = docs.where("doc_id is not null").withColumn("slot", slot_of(F.col("doc_id"), len(bits) * 8)).mapInArrow(_sets(size, spark.sparkContext.broadcast(bits)), "doc_id long, d1 long, d2 long, shingles array<long>")
+    sets = docs.where("doc_id is not null").withColumn("slot", slot_of(F.col("doc_id"), len(bits) * 8)).mapInArrow(lean(_sets(size, spark.sparkContext.broadcast(bits))), "doc_id long, d1 long, d2 long, shingles array<long>")
     if some_several:
         # a text of a document with several is the class's only if none other carries it
         sets = sets.join(several, "doc_id", "left").withColumn("rep", F.when(F.col("several"), _synthetic()).otherwise(F.col("doc_id"))).dropDuplicates(["rep"])

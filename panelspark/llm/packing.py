@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, need, texts_of
+from .common import Scratch, lean, need, texts_of
 from .wordpieces import word_pieces
 
 LENGTH = 4096
@@ -54,7 +54,7 @@ def _pieces(path: str, end_id: int, length: int):
 
 def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; null text is empty: its end id alone."""
-    return texts_of(df, id_col, text_col).mapInArrow(_pieces(tokenizer_path, end_id, length), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts_of(df, id_col, text_col).mapInArrow(lean(_pieces(tokenizer_path, end_id, length)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

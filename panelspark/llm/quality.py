@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, need, texts_of
+from .common import bound_batches, lean, need, texts_of
 from .textscan import mix, slices, windows, words
 
 FEATURES = 1 << 18
@@ -202,7 +202,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
         marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # a broadcast of at most ``sample`` rows
     some = texts_of(df, id_col, text_col).join(F.broadcast(marks), "doc_id")
-    rows = some.mapInArrow(_featurise, "doc_id long, quality int, ids array<int>").toArrow().sort_by("doc_id")
+    rows = some.mapInArrow(lean(_featurise), "doc_id long, quality int, ids array<int>").toArrow().sort_by("doc_id")
     ids = [np.asarray(r.values) for r in rows.column("ids")]
     return fit([np.sort(i) for i in ids], rows.column("quality").to_numpy())
 
@@ -220,7 +220,7 @@ def _score(model):
 def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return texts_of(df, id_col, text_col).mapInArrow(_score(shared), "doc_id long, score double")
+    return texts_of(df, id_col, text_col).mapInArrow(lean(_score(shared)), "doc_id long, score double")
 
 
 def with_quality(df: DataFrame, model: QualityModel, column: str = "quality_score", text_col: str = "text") -> DataFrame:
@@ -237,4 +237,4 @@ def with_quality(df: DataFrame, model: QualityModel, column: str = "quality_scor
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*names, column])
 
     schema = type(rest.schema)(rest.schema.fields[:-1]).add(column, "double")
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(lean(run), schema)
