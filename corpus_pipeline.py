@@ -61,7 +61,7 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 4096 tokens."""
-    packed = pack(pieces(docs, path("word_bpe_49k.json"), end_id=1))
+    packed = pack(pieces(docs, path("word_bpe_49k.json"), end_id=1, forget=True))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

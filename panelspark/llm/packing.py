@@ -34,7 +34,7 @@ SLACK = 1 / 256
 ROUNDS = 4
 
 
-def _pieces(path: str, end_id: int, length: int):
+def _pieces(path: str, end_id: int, length: int, forget: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, end = word_pieces(path), np.uint32(end_id).tobytes()
         for batch in batches:
@@ -48,13 +48,18 @@ def _pieces(path: str, end_id: int, length: int):
                         rows.append((doc, piece, at // 4, len(some) // 4, zlib.crc32(some)))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if forget:
+            use.forget()
 
     return run
 
 
-def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; null text is empty: its end id alone."""
-    return texts_of(df, id_col, text_col).mapInArrow(lean(_pieces(tokenizer_path, end_id, length)), "doc_id long, piece int, start long, length long, ids_crc32 long")
+def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", forget: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece; null text is empty: its end id alone.
+
+    ``forget``: a worker keeps no ids of words for its next task.
+    """
+    return texts_of(df, id_col, text_col).mapInArrow(lean(_pieces(tokenizer_path, end_id, length, forget)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

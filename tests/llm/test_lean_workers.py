@@ -36,3 +36,17 @@ def test_a_worker_gives_back_what_signing_lines_took():
     root = Path(__file__).parent.parent.parent
     done = subprocess.run([sys.executable, "-c", PROGRAM], cwd=root, capture_output=True, text=True, check=True)
     assert float(done.stdout.split()[-1]) < 30
+
+
+def test_packing_keeps_no_words_where_it_is_told_to():
+    import pyarrow as pa
+    from public_tokenizers import path
+
+    from panelspark.llm.packing import _pieces
+    from panelspark.llm.wordpieces import word_pieces
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two three", None])], ["doc_id", "text"])
+    kept = list(_pieces(path("word_bpe_49k.json"), 1, 4096)(iter([batch])))
+    assert len(word_pieces(path("word_bpe_49k.json")).kept) > 1
+    assert list(_pieces(path("word_bpe_49k.json"), 1, 4096, forget=True)(iter([batch]))) == kept
+    assert len(word_pieces(path("word_bpe_49k.json")).kept) == 1
